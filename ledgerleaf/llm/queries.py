@@ -7,12 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import leakage, repeated_lines, shared_spans, splitting
+from ledgerleaf.llm import leakage, markup, neardup, packing, repeated_lines, sentences, shared_spans, splitting
 from ledgerleaf.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "document_chunks", ["chunk_id", "content"]).select(F.col("chunk_id").alias("doc"), F.col("content").alias("text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks whose three-word sequences agree to at least 0.6, as TESTDATA.md asks."""
+    return neardup.near_pairs(_chunks(spark, d), threshold=0.6, k=3, min_words=20).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of such chunks, with the number of meetings each group touches."""
+    groups = neardup.near_groups(_chunks(spark, d), threshold=0.6, k=3, min_words=20)
+    where = load(spark, d, "document_chunks", ["chunk_id", "doc_id"]).distinct()
+    meetings = load(spark, d, "document_metadata", ["doc_id", "meeting_date"]).groupBy("doc_id").agg(F.min("meeting_date").alias("meeting_date"))
+    dated = where.join(meetings, "doc_id", "left").groupBy(F.col("chunk_id").alias("doc")).agg(F.min("meeting_date").alias("meeting_date"))
+    dated = groups.join(dated, "doc", "left")
+    meetings = dated.groupBy("group_id").agg(F.countDistinct("meeting_date").alias("n_meetings"))
+    return dated.join(meetings, "group_id").select(F.col("doc").alias("chunk_id"), "group_id", "n_links", "n_copies", "meeting_date", "n_meetings")
+
+
+def p2_corpus_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of documents alike in five-word sequences to at least 0.8."""
+    return neardup.near_groups(_texts(spark, d)).withColumnRenamed("doc", "doc_id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    queue = load(spark, d, "sentence_queue", ["chunk_id"]).select(F.col("chunk_id").alias("doc")).distinct()
+    return sentences.sentence_units(_chunks(spark, d).join(queue, "doc", "left_semi")).withColumnRenamed("doc", "chunk_id")
+
+
+def p3_units(spark: SparkSession, d: str) -> DataFrame:
+    """The units with their texts."""
+    queue = load(spark, d, "sentence_queue", ["chunk_id"]).select(F.col("chunk_id").alias("doc")).distinct()
+    once = _chunks(spark, d).join(queue, "doc", "left_semi").where(F.col("text").isNotNull()).groupBy("doc").agg(F.min("text").alias("text"))
+    each = once.select("doc", "text", F.posexplode(sentences.units(F.col("text"))).alias("unit_no", "u"))
+    return each.select(F.col("doc").alias("chunk_id"), "unit_no", "u.start_pos", "u.n_chars", F.substring("text", F.col("u.start_pos"), F.col("u.n_chars")).alias("unit"))
+
+
 def _doc_types(spark: SparkSession, d: str) -> DataFrame:
     """``doc_id, source``: every document's type without case and padding; blank types are none."""
     kind = F.lower(F.trim("doc_type"))
@@ -36,6 +74,23 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.remove_lines(once, repeated_lines.repeated_lines(docs, sources)).select(F.col("doc").alias("chunk_id"), F.col("text").alias("content"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.find_markup(_chunks(spark, d)).withColumnRenamed("doc", "chunk_id")
+
+
+def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's clean text and, where it held markup, its blocks."""
+    return markup.clean(_chunks(spark, d)).select(F.col("doc").alias("chunk_id"), F.col("text").alias("content"), "blocks")
+
+
+def p5_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Templates of the pages of one host, the host being that of the document's url."""
+    host = F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1)
+    hosts = load(spark, d, "document_metadata", ["doc_id", "url"]).where(F.col("url").isNotNull()).groupBy("doc_id").agg(F.min(host).alias("host"))
+    pages = load(spark, d, "document_chunks", ["chunk_id", "doc_id", "content"]).where(F.col("content").contains("<")).groupBy("chunk_id", "doc_id").agg(F.min("content").alias("text"))
+    return markup.deduce_templates(pages.join(hosts, "doc_id").select("host", F.col("chunk_id").alias("page"), "text"))
+
+
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(load(spark, d, "document_chunks", ["chunk_id", "content", "section_anchor"]), load(spark, d, "size_limits"))
 
@@ -45,6 +100,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where((F.col("limit_id") == "split_default") & (F.col("piece_no") == 1)).select("chunk_id").distinct()
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_texts(spark, d), load(spark, d, "size_limits")).withColumnRenamed("doc", "doc_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well each capacity's containers are filled."""
+    limits = load(spark, d, "size_limits")
+    return packing.fill_summary(packing.pack(_texts(spark, d), limits), limits)
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     each = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("query_text", "expected_answer")))
     return load(spark, d, "eval_questions").select(F.col("question_id").alias("item"), F.explode(each).alias("x")).select("item", "x.*")
@@ -85,7 +150,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_amounts(shared_spans.shared_spans(docs), docs).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_cleaned, p6_found, p6_pieces, p8_found, p8_matches, p8_kept, p9_found, p9_spans, p9_shared)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p2_corpus_groups, p3_found, p3_units, p4_found, p4_cleaned, p5_found, p5_cleaned, p5_templates, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_matches, p8_kept, p9_found, p9_spans, p9_shared)}
 ORACLES: dict[str, str] = {
     "p4_found": r"""
 with types as (select doc_id, min(nullif(lower(trim(doc_type)), '')) source from document_metadata group by doc_id),
