@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import leakage, markup, neardup, packing, repeated_lines, sentences, shared_spans, splitting
+from ledgerleaf.llm import leakage, markup, neardup, packing, repeated_lines, scan_noise, sentences, shared_spans, splitting
 from ledgerleaf.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,22 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "document_chunks", ["chunk_id", "content"]).select(F.col("chunk_id").alias("doc"), F.col("content").alias("text"))
 
 
+def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = load(spark, d, "document_chunks", ["chunk_id", "doc_id", "content"]).select(F.col("chunk_id").alias("doc"), F.col("doc_id").alias("owner"), F.col("content").alias("text"))
+    title = F.when(F.trim("title") != "", F.trim("title"))
+    titles = load(spark, d, "document_metadata", ["doc_id", "title"]).groupBy(F.col("doc_id").alias("owner")).agg(F.max(title).alias("title"))
+    return docs, titles
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.find_noise(*_scans(spark, d)).withColumnRenamed("doc", "chunk_id")
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk's text, repaired."""
+    return scan_noise.repair(*_scans(spark, d)).select(F.col("doc").alias("chunk_id"), F.col("text").alias("content"), "n_repairs")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks whose three-word sequences agree to at least 0.6, as TESTDATA.md asks."""
     return neardup.near_pairs(_chunks(spark, d), threshold=0.6, k=3, min_words=20).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
@@ -150,7 +166,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_amounts(shared_spans.shared_spans(docs), docs).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p2_corpus_groups, p3_found, p3_units, p4_found, p4_cleaned, p5_found, p5_cleaned, p5_templates, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_matches, p8_kept, p9_found, p9_spans, p9_shared)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p2_corpus_groups, p3_found, p3_units, p4_found, p4_cleaned, p5_found, p5_cleaned, p5_templates, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_matches, p8_kept, p9_found, p9_spans, p9_shared)}
 ORACLES: dict[str, str] = {
     "p4_found": r"""
 with types as (select doc_id, min(nullif(lower(trim(doc_type)), '')) source from document_metadata group by doc_id),
