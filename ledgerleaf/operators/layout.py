@@ -202,7 +202,8 @@ def refined_boxes(elements: DataFrame, blocks: DataFrame, padding: float = 2.0,
     lo = lambda c: F.greatest(F.lit(0.0), F.col("e_" + c) - pad).cast("int")
     hi = lambda c: F.least(F.lit(1000.0), F.col("e_" + c) + pad).cast("int")
     e = elements.join(env, [*PAGE, "idx"], "left").select("*", lo("ymin").alias("p_ymin"), lo("xmin").alias("p_xmin"), hi("ymax").alias("p_ymax"), hi("xmax").alias("p_xmax"))
-    good = F.coalesce(box("p_").area >= least * box().area, F.lit(False))
+    # greatest and least skip nulls, so an element that no block meets must be told apart here
+    good = F.col("e_ymin").isNotNull() & F.coalesce(box("p_").area >= least * box().area, F.lit(False))
     return e.select(*elements.columns, *(F.when(good, F.col("p_" + c)).otherwise(F.col(c)).alias("new_" + c) for c in box()._fields), good.alias("refined"))
 
 

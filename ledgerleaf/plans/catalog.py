@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from ledgerleaf.plans import texts  # noqa: F401  (they register their queries)
+from ledgerleaf.plans import geometry, retrieval, sections, texts  # noqa: F401  (they register their queries)
 from ledgerleaf.plans.common import ORACLES, QUERIES  # noqa: F401
