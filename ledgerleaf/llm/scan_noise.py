@@ -95,6 +95,11 @@ def _plain(word: str) -> str:
     return re.sub(r"(?<=[a-z])I", "|", word).lower()
 
 
+def compounds(text: str) -> list[str]:
+    """Hyphenated words; none holds white space, so only pieces with a hyphen are searched."""
+    return [c for piece in text.split() if "-" in piece for c in COMPOUND.findall(piece)]
+
+
 def tokens(text: str) -> list[str]:
     if "I" in text:
         text = re.sub(r"(?<=[a-z])I", "|", text)
@@ -115,7 +120,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text, cuts, pages, heads = prepare(text)
             counts.update(tokens(text))
             if "-" in text:
-                counts.update(COMPOUND.findall(text.lower()))
+                counts.update(compounds(text.lower()))
             if pages:
                 rows.append(("p", doc, None, None, None, 1))
             for a, b in cuts:
