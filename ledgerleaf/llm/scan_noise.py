@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,8 @@ WEAK = {("t", "f"), ("n", "u"), ("u", "n"), ("y", "v"), ("a", "ci"), ("k", "lc")
 MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
 DATE = rf"(?:{MONTH}|[A-Z][\w†@|]{{2,9}}) [0-9OlI]{{1,2}}, (?:1[5-9]|2[01])[0-9]{{2}}"
 WORD = re.compile(r"[\w|†‡@€]+")
-CUT = re.compile(r"([^\W\d_](?:[\w|†‡@€]*))([-­‐])[ \t]*\n\s*(?=([\w|†‡@€]+))")
+CUT = re.compile(r"(?<=[\w|†‡@€])[-­‐][ \t]*\n\s*(?=([\w|†‡@€]+))")
+_LEFT = re.compile(r"[^\W\d_][\w|†‡@€]*")
 COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 PAGE = re.compile(r"^[ \t]*(?:\d{1,4}|[-–—] ?\d{1,4} ?[-–—]|p{1,2}\. ?\d{1,4}|\[\d{1,4}\]|\(\d{1,4}\)|(?:Page|page|PAGE) \d{1,4}(?: of \d{1,4})?|\d{1,4} ?/ ?\d{1,4}|\d{1,4} of \d{1,4}|[ivxl]{1,7})[ \t]*$", re.M)
 HEADER = re.compile(r"^[ \t]*(?:\d{1,4}[ \t]{2,})?[A-Z0-9][^\n.;:!?]{13,139}[\w†|@)][ \t]*$", re.M)
@@ -80,16 +81,28 @@ def prepare(text: str) -> tuple[str, list[tuple[str, str]], bool, list[tuple[str
             at = max(at, hi)
         text = "".join([*rest, text[at:]])
     cuts: list[tuple[str, str]] = []
-    if CUT.search(text):
 
-        def join(m: re.Match) -> str:
-            cuts.append((_plain(m[1]), _plain(m[3])))
-            return m[1]
+    def join(left: str, right: str) -> str:
+        cuts.append((_plain(left), _plain(right)))
+        return ""
 
-        text = CUT.sub(join, text)
+    text = _at_cuts(text, join)
     return "\n".join([text, *lines]), cuts, pages, heads
 
 
+def _at_cuts(text: str, replace: Callable[[str, str], str]) -> str:
+    """text with the mark and line end of every cut replaced; the mark is sought first, as it is rarer than words are."""
+
+    def at(m: re.Match) -> str:
+        lo = m.start()
+        while lo and WORD.match(text, lo - 1, lo):
+            lo -= 1
+        left = _LEFT.search(text, lo, m.start())
+        return replace(left[0], m[1]) if left else m[0]
+
+    return CUT.sub(at, text)
+
+
 def _plain(word: str) -> str:
     """Lower case; a capital I after a small letter is kept apart, since it is an l misread."""
     return re.sub(r"(?<=[a-z])I", "|", word).lower()
@@ -341,7 +354,7 @@ def repair_text(text: str, words: dict[str, str], joins: set[tuple[str, str]], p
                 rest[-1] = before.rstrip() + "\n" if not before.rstrip().endswith(("-", "\xad", "‐")) else before.rstrip() + "\n"
                 at += m.end()
         text = "".join([*rest, text[at:]])
-    text = CUT.sub(lambda m: m[1] if (_plain(m[1]), _plain(m[3])) in joins else m[1] + "-", text)
+    text = _at_cuts(text, lambda left, right: "" if (_plain(left), _plain(right)) in joins else "-")
     if words:
         text = WORD.sub(lambda m: _case(m[0], words[k]) if (k := _plain(m[0])) in words else m[0], text)
     return re.sub(r"(?<=\S)[ \t]*\n(?=\S)(?![-*•#|\[{<]|\d+[.)] )", " ", text)
