@@ -105,10 +105,17 @@ def test_pages_of_files(spark, tmp_path):
     assert [r.problem[:7] for r in rows if r.problem] == ["Unicode"]
 
 
-def test_stage_reads_the_sessions_folder(spark, tmp_path):
-    assert stages.shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert stages.stage(spark.range(3), "x").count() == 3 and (tmp_path / "ledgerleaf").exists()
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_shared_folder_is_the_sessions(spark):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        """The setting can't be changed in a running session, so a stand-in carries it."""
+
+        conf = Conf({"spark.checkpoint.dir": "file:///shared/x/"})
+
+    assert stages.shared_dir(Session()) == "file:///shared/x"
+    path = stages.new_path(spark, "label")
+    assert path.startswith(stages.shared_dir(spark)) and path != stages.new_path(spark, "label")
+    assert stages.stage(spark.range(3), "x").count() == 3

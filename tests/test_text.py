@@ -26,9 +26,10 @@ def test_sentences_agree_with_the_plain_restatement(spark):
 
 
 def test_long_sentence_stays_whole_and_last_is_repeated(spark):
-    long = "word " * 100 + "end."
+    long = "Word " * 100 + "end."
     got = column(spark, [f"Short one here. {long} After it comes this."], lambda c: text.pack_sentences(text.sentences(c), 20))[0]
-    assert [g.content for g in got][1].startswith("Short one here. word") and got[2].content.startswith("word")
+    assert [g.content for g in got] == ["Short one here.", f"Short one here. {long}", f"{long} After it comes this."]
+    assert [g.token_count for g in got] == [3, 3 + len(long) // 4, len(long) // 4 + 5]
 
 
 def test_trailing_text_takes_at_least_one(spark):
