@@ -75,11 +75,21 @@ def _steps() -> list[tuple[str, str]]:
 
 
 def _inner(text: Column) -> Column:
-    """Marks within quotations masked: those whose next quote closes."""
+    """Marks within quotations masked: those whose next quotation sign closes.
+
+    The text is cut behind every such sign, so that one look at a part's last character decides on all its marks; a look ahead from each
+    mark would read a text with few quotations over and over.
+    """
+    parts = F.split(F.regexp_replace(text, f"[{_QUOTES}]", f"$0{CUT}"), CUT)
+    closing = list(f"”»」』›{CLOSE}")
+    # the sign that opens an English quotation closes a German one
     german = F.contains(text, F.lit("„"))
-    not_quote = rf"[^{_QUOTES}]*+"
-    other = F.regexp_replace(text, rf"[{_MARKS}](?={not_quote}[”»」』›{CLOSE}])", INNER)
-    return F.when(german, F.regexp_replace(F.regexp_replace(text, rf"[{_MARKS}](?={not_quote}[»」』›{CLOSE}])", INNER), rf"[{_MARKS}](?={not_quote}“)", INNER)).otherwise(other)
+
+    def mask(part: Column) -> Column:
+        last = F.substring(part, -1, 1)
+        return F.when(last.isin(closing) | (german & (last == "“")), F.regexp_replace(part, f"[{_MARKS}]", INNER)).otherwise(part)
+
+    return F.array_join(F.transform(parts, mask), "")
 
 
 def _ends() -> str:
