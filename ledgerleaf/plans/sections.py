@@ -43,7 +43,7 @@ def a1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c1_w7_x9_section_chunks")
 def c1(spark: SparkSession, d: str) -> DataFrame:
-    """An ordered fold, so without SQL; a test holds it against a plain restatement."""
+    """An ordered fold, so without SQL; a test holds random documents against a plain restatement."""
     return chunking.chunk_sections(elements(spark, d))
 
 
