@@ -162,8 +162,7 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
-    docs = _texts(spark, d)
-    return shared_spans.shared_amounts(shared_spans.shared_spans(docs), docs).withColumnRenamed("doc", "doc_id")
+    return shared_spans.shared_amounts(shared_spans.shared_spans(_texts(spark, d))).withColumnRenamed("doc", "doc_id")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p2_corpus_groups, p3_found, p3_units, p4_found, p4_cleaned, p5_found, p5_cleaned, p5_templates, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_matches, p8_kept, p9_found, p9_spans, p9_shared)}

@@ -411,8 +411,8 @@ def test_log_compacts_and_keeps_all_rows(spark):
 
 
 def test_shared_amounts(spark):
-    spans = spark.createDataFrame([(1, 2, 1, 5, 200), (1, 3, 101, 1, 200)], "a long, b long, start_a int, start_b int, n_chars int")
-    df = spark.createDataFrame([(i, "x" * 400) for i in (1, 2, 3)], "doc long, text string")
-    assert {r.doc: (r.shared_chars, r.n_others) for r in shared_spans.shared_amounts(spans, df).collect()} == {1: (300, 2), 2: (200, 1), 3: (200, 1)}
+    spans = spark.createDataFrame([(1, 2, 1, 5, 200, 400, 400), (1, 3, 101, 1, 200, 400, 250)], "a long, b long, start_a int, start_b int, n_chars int, size_a int, size_b int")
+    got = {r.doc: (r.shared_chars, r.n_others, r.n_chars, r.shared_share) for r in shared_spans.shared_amounts(spans).collect()}
+    assert got == {1: (300, 2, 400, 0.75), 2: (200, 1, 400, 0.5), 3: (200, 1, 250, 0.8)}
     empty = spark.createDataFrame([], "doc long, text string")
     assert shared_spans.shared_spans(empty).count() == 0
