@@ -74,16 +74,16 @@ def _steps() -> list[tuple[str, str]]:
     ]
 
 
-def _inner(text: Column) -> Column:
-    """Marks within quotations masked: those whose next quotation sign closes.
+def _inner(text: Column, raw: Column) -> Column:
+    """Marks within quotations masked: those whose next quotation sign closes. ``raw`` is the text before any masking.
 
     The text is cut behind every such sign, so that one look at a part's last character decides on all its marks; a look ahead from each
     mark would read a text with few quotations over and over.
     """
     parts = F.split(F.regexp_replace(text, f"[{_QUOTES}]", f"$0{CUT}"), CUT)
     closing = list(f"”»」』›{CLOSE}")
-    # the sign that opens an English quotation closes a German one
-    german = F.contains(text, F.lit("„"))
+    # the sign that opens an English quotation closes a German one; asked of the raw text, since what a lambda refers to is worked out for every part
+    german = F.contains(raw, F.lit("„"))
 
     def mask(part: Column) -> Column:
         last = F.substring(part, -1, 1)
@@ -114,7 +114,7 @@ def _ends() -> str:
 def masked(text: Column) -> Column:
     """text with everything that ends no unit masked; characters stay in place."""
     own = F.regexp_replace(text, f"[{_OWN}]", "")
-    return _inner(reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), [("(?U)" + p, r) for p, r in _steps()], own))
+    return _inner(reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), [("(?U)" + p, r) for p, r in _steps()], own), text)
 
 
 def units(text: Column) -> Column:
