@@ -29,7 +29,7 @@ from pyspark.sql.types import DoubleType
 from ledgerleaf.sources.stages import stage
 
 #: Public knowledge of optical character recognition: what is read for what (fixed values).
-CONFUSIONS = [("d", "cl"), ("m", "rn"), ("n", "ri"), ("u", "ii"), ("w", "vv"), ("h", "li"), ("e", "c"), ("h", "b"), ("g", "q"), ("v", "y"), ("l", "1"), ("l", "|"), ("i", "1"), ("i", "|"), ("o", "0"), ("s", "5"), ("b", "6"), ("t", "†"), ("a", "@"), ("g", "9"), ("b", "8"), ("z", "2"), ("e", "€"), ("t", "7"), ("i", "!"), ("l", "!"), ("f", "ſ"), ("k", "lc"), ("a", "ci"), ("y", "v"), ("t", "f"), ("n", "u"), ("u", "n")]
+CONFUSIONS = [("d", "cl"), ("m", "rn"), ("n", "ri"), ("u", "ii"), ("w", "vv"), ("h", "li"), ("e", "c"), ("h", "b"), ("g", "q"), ("v", "y"), ("l", "1"), ("l", "|"), ("i", "1"), ("i", "|"), ("o", "0"), ("s", "5"), ("b", "6"), ("t", "†"), ("a", "@"), ("g", "9"), ("b", "8"), ("z", "2"), ("e", "€"), ("t", "7"), ("i", "!"), ("l", "!"), ("f", "ſ"), ("k", "lc"), ("a", "ci"), ("y", "v"), ("t", "f"), ("n", "u"), ("u", "n"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ff", "ﬀ")]
 #: Pairs whose misreading gives another common letter pattern weigh more.
 WEAK = {("t", "f"), ("n", "u"), ("u", "n"), ("y", "v"), ("a", "ci"), ("k", "lc")}
 MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"

@@ -39,6 +39,7 @@ PLAIN = "The inflation outlook and longer-run housing surveys moved. " * 40
 
 
 def test_noise_kinds(spark):
+    assert found(spark, [PLAIN, "The inﬂation moved"]) == {"a1": {"char_error"}}
     texts = [PLAIN, "The infla-\ntion moved", "The longer-\nrun moved", "The inflatiori moved", "Growth was\n- 12 -\nslow", "Votes for it:\n11\nVotes against:\n5", "slow\n14    Norford Note, Vore Session, May 3, 2020\ngrowth", None, "", "   ", "Plain Heading for Norford, Second Quarter 2020\n\nText"]
     got = found(spark, texts, [None] * 6 + ["Norford Note, Vore Session"] + [None] * 3 + ["Another Title, Said Here"])
     assert got == {"a1": {"hyphen_break"}, "a3": {"char_error"}, "a4": {"page_number"}, "a6": {"page_number", "running_header"}}
@@ -59,6 +60,7 @@ def test_repair_round_trip(spark):
 def test_confusion_costs():
     assert scan_noise.confusion_cost("rebounded", "reboundecl") == pytest.approx(0.4)
     assert scan_noise.confusion_cost("turnover", "tumover") == pytest.approx(0.4)
+    assert scan_noise.confusion_cost("inflation", "inﬂation") == pytest.approx(0.4)
     assert scan_noise.confusion_cost("rose", "rise") == 1 and scan_noise.confusion_cost("same", "same") == 0
 
 
