@@ -33,13 +33,17 @@ CONFUSIONS = [("d", "cl"), ("m", "rn"), ("n", "ri"), ("u", "ii"), ("w", "vv"), (
 #: Pairs whose misreading gives another common letter pattern weigh more.
 WEAK = {("t", "f"), ("n", "u"), ("u", "n"), ("y", "v"), ("a", "ci"), ("k", "lc")}
 MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
-DATE = rf"(?:{MONTH}|[A-Z][\w†@|]{{2,9}}) [0-9OlI]{{1,2}}, (?:1[5-9]|2[01])[0-9]{{2}}"
-WORD = re.compile(r"[\w|†‡@€]+")
-CUT = re.compile(r"(?<=[\w|†‡@€])[-­‐][ \t]*\n\s*(?=([\w|†‡@€]+))")
-_LEFT = re.compile(r"[^\W\d_][\w|†‡@€]*")
+DATE = rf"(?:{MONTH}|[A-Z!][\w†@|!]{{2,9}}) [0-9OlI]{{1,2}}, (?:1[5-9]|2[01])[0-9]{{2}}"
+#: An exclamation mark is part of a word if a letter follows it, since it is what an i or l was read as.
+_MARK = r"(?<!!)!(?=[^\W\d_])"
+WORD = re.compile(rf"(?:[\w|†‡@€]+|{_MARK})+")
+_UNMARKED = re.compile(r"[\w|†‡@€]+")
+CUT = re.compile(rf"(?:(?<=[\w|†‡@€])|(?<=[^\W\d_]!))[-­‐][ \t]*\n\s*(?=((?:[\w|†‡@€]+|{_MARK})+))")
+_CHAR = re.compile(r"[\w|†‡@€!]")
+_LEFT = re.compile(r"(?:[^\W\d_]|(?<!!)!(?=[^\W\d_]))[\w|†‡@€!]*")
 COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 PAGE = re.compile(r"^[ \t]*(?:\d{1,4}|[-–—] ?\d{1,4} ?[-–—]|p{1,2}\. ?\d{1,4}|\[\d{1,4}\]|\(\d{1,4}\)|(?:Page|page|PAGE) \d{1,4}(?: of \d{1,4})?|\d{1,4} ?/ ?\d{1,4}|\d{1,4} of \d{1,4}|[ivxl]{1,7})[ \t]*$", re.M)
-HEADER = re.compile(r"^[ \t]*(?:\d{1,4}[ \t]{2,})?[A-Z0-9][^\n.;:!?]{13,139}[\w†|@)][ \t]*$", re.M)
+HEADER = re.compile(r"^[ \t]*(?:\d{1,4}[ \t]{2,})?[A-Z0-9!](?:[^\n.;:!?]|!(?=[\w|†‡@€])){13,139}[\w†|@)][ \t]*$", re.M)
 _SMALL = {"of", "and", "the", "for", "on", "in", "to", "a", "an", "—", "–", "|", "-", "&"}
 RATIO = 20
 LEAST = 4
@@ -54,7 +58,7 @@ def header_phrase(line: str) -> tuple[str, bool, bool] | None:
     s = re.sub(r"^\d{1,4}\s{2,}|\s{2,}\d{1,4}$", "", s)
     dated = re.sub(rf"\s*[|—–,-]?\s*{DATE}\s*[|—–,-]?\s*", "", s)
     parts = dated.split()
-    if not 3 <= len(parts) <= 14 or not all(p in _SMALL or p[0].isupper() or p[0].isdigit() or p[0] in "†|@'" for p in parts):
+    if not 3 <= len(parts) <= 14 or not all(p in _SMALL or p[0].isupper() or p[0].isdigit() or p[0] in "†|@'!" for p in parts):
         return None
     return dated, dated != s or dated.isupper(), bool(number)
 
@@ -95,7 +99,7 @@ def _at_cuts(text: str, replace: Callable[[str, str], str]) -> str:
 
     def at(m: re.Match) -> str:
         lo = m.start()
-        while lo and WORD.match(text, lo - 1, lo):
+        while lo and _CHAR.match(text, lo - 1, lo):
             lo -= 1
         left = _LEFT.search(text, lo, m.start())
         return replace(left[0], m[1]) if left else m[0]
@@ -116,7 +120,7 @@ def compounds(text: str) -> list[str]:
 def tokens(text: str) -> list[str]:
     if "I" in text:
         text = re.sub(r"(?<=[a-z])I", "|", text)
-    return WORD.findall(text.lower())
+    return (WORD if "!" in text else _UNMARKED).findall(text.lower())
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -57,6 +57,14 @@ def test_repair_round_trip(spark):
     assert got["a0"] == PLAIN and got["a1"] == "The inflation outlook and housing moved."
 
 
+def test_exclamation_mark_within_a_word(spark):
+    title = "Norford Committee Note, Vore Session"
+    texts = [PLAIN, "The !nflation moved", "The infla-\nt!on moved", "It moved! The outlook!!Housing moved!", f"slow\n14    {title.replace('mitt', 'm!tt')}, Apr!l 3, 2020\ngrowth", "Well! The outlook moved"]
+    assert found(spark, texts, [None] * 4 + [title, "Well The outlook moved"]) == {"a1": {"char_error"}, "a2": {"char_error", "hyphen_break"}, "a4": {"page_number", "running_header"}}
+    got = {r.doc: r.text for r in scan_noise.repair(*noise(spark, texts, [None] * 4 + [title, None])).collect()}
+    assert got["a1"] == "The inflation moved" and got["a2"] == "The inflation moved" and got["a3"] == texts[3] and got["a4"] == "slow growth"
+
+
 def test_confusion_costs():
     assert scan_noise.confusion_cost("rebounded", "reboundecl") == pytest.approx(0.4)
     assert scan_noise.confusion_cost("turnover", "tumover") == pytest.approx(0.4)
