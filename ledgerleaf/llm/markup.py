@@ -60,9 +60,9 @@ PATTERNS = {
         re.M | re.X,
     ),
 }
-#: Text without any of these holds no trace; it is told in the JVM and never travels to Python.
-_SIGNS = r"""[<`\\*_#]|&[#A-Za-z]|\[\[|\{\{|''|==|\{\||\|\}|\|-|-\||\]\(|(?m:^ {0,3}> )|~~|-->|\$[A-Za-z({]"""
-_MARK_OF = {"html": ("<", "&", "-->"), "markdown": ("`", "*", "_", "#", "](", "> ", "-|", "- |", "~~"), "wiki": ("[[", "{{", "''", "==", "{|", "|}", "|-", "!!", "__"), "latex": ("\\", "$")}
+#: Text without any of these holds no trace; it is told in the JVM and never travels to Python. Every alternative of PATTERNS needs one.
+_SIGNS = r"""[<`\\*_#]|&[#A-Za-z]|\[\[|\{\{|''|==|\{\||\|\}|\|-|-{3}:? *\||!!|\]\(|(?m:^ {0,3}> )|~~|-->|\$[^\s\d.,$]"""
+_MARK_OF = {"html": ("<", "&", "-->"), "markdown": ("`", "*", "_", "#", "](", "> ", "---", "~~"), "wiki": ("[[", "{{", "''", "==", "{|", "|}", "|-", "!!", "__"), "latex": ("\\", "$")}
 
 
 def languages(text: str) -> list[str]:
@@ -113,7 +113,7 @@ def _wiki(t: str) -> str:
     t = re.sub(r"(?<![\\{])\{\{val\|([^{}|\n]*)[^{}\n]*\}\}", r"\1", t)
     t = re.sub(r"(?<![\\{])[ ]?\{\{(?=[^\W\d_]|[#:!])[^{}\n]*\}\}", "", t)
     t = re.sub(r"(?<!')'{2,3}(?=[^'\s])([^'\n`]+(?:'[^'\n`]+)*)(?<!\s)'{2,3}(?!')", r"\1", t)
-    if re.search(r"^\{\||^\|\}[ ]*$|^\|-+[ ]*$", t, re.M):
+    if re.search(r"^\{\||^\|\}[ ]*$|^\|-+[ ]*$|^![ ][^\n]*!!", t, re.M):
         t = re.sub(r"^(?:\{\|.*|\|\}[ ]*|\|-+[ ]*)$\n?", "", t, flags=re.M)
         t = re.sub(r"^[|!][ ]?(.*)$", lambda m: "\ue012" + " | ".join(c.strip() for c in re.split(r"\|\||!!", m[1])), t, flags=re.M)
     return re.sub(r"^[:;]+[ ]+", "", t, flags=re.M)

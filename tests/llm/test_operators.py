@@ -248,6 +248,15 @@ def test_markup_prefilter_lets_all_traces_through(spark):
     assert docs(spark, texts).where(markup.may_hold_markup(F.col("text"))).count() == len(texts)
 
 
+def test_markup_prefilter_holds_every_alternative(spark):
+    """Each alternative of the patterns alone, in its widest forms."""
+    texts = ["| --- | --- |", "--- | ---", "| :--- | ---: |", "---: | ---:", "---:|", "! Year !! Rate", "$π = 3.14$", "$|x| = 3$", "$-x_1$", "~~~\nx", "```", "**x", "x**", "_x_", "*x*", "__x__", "<!-- x", "<!DOCTYPE x", "</p>", "&#65;", "&#x41;", "|}", "|-", "{| x", "''x'' y", "__TOC__", "\\begin{x", "\\(", "\\]", "\\&"]
+    assert [t for t in texts if not markup.languages(t)] == []
+    assert {r.text for r in docs(spark, texts).where(~markup.may_hold_markup(F.col("text"))).collect()} == set()
+    got = [markup.convert(t)[0] for t in ("Year | Rate\n--- | ---\n2020 | 1", "! Year !! Rate", "$π = 3.14$")]
+    assert got == ["Year | Rate\n2020 | 1", "Year | Rate", "π = 3.14"]
+
+
 def test_conversion_keeps_structure():
     text, blocks = markup.convert("<h2>Head</h2>\n<p>One &amp; two.<br/>Three</p>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>\n<TABLE>\n<tr><td>x</td><td align=right>1</td></tr>\n</TABLE>\n<pre><code>y = 2 * z</code></pre>")
     assert [b[0] for b in blocks] == ["heading", "text", "list", "table", "code"] and blocks[1][2] == "One & two.\nThree" and blocks[3][2] == "x | 1" and blocks[4][2] == "y = 2 * z"
