@@ -204,8 +204,8 @@ class FingerprintLog:
 def shared_stretches(a: str, b: str, min_chars: int) -> list[tuple[int, int, int]]:
     """Maximal equal stretches (start in a, start in b, length) of at least min_chars characters; equal texts give one.
 
-    Hashes of all windows find them, comparing the characters proves them. A stretch of a that stands at several places of b is
-    given with the first.
+    Hashes of all windows find them, comparing the characters proves them. Together they hold every place of either text that the
+    other has too. A place is given with the first place of the other text, so that what recurs gives no row for every two places.
     """
     if a == b:
         return [(0, 0, len(a))] if len(a) >= min_chars else []
@@ -215,18 +215,36 @@ def shared_stretches(a: str, b: str, min_chars: int) -> list[tuple[int, int, int
     values, where = np.unique(y, return_index=True)
     at = np.minimum(np.searchsorted(values, x), len(values) - 1)
     hit = np.flatnonzero(values[at] == x)
-    out, done = [], -1
-    for i in hit:
-        if i <= done:
-            continue
-        i, j = int(i), int(where[at[i]])
+    out: list[tuple[int, int, int]] = []
+
+    def stretch(i: int, j: int) -> bool:
         if a[i : i + min_chars] != b[j : j + min_chars]:
-            continue
+            return False
         n = min_chars
         while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
             n += 1
+        while i and j and a[i - 1] == b[j - 1]:
+            i, j, n = i - 1, j - 1, n + 1
         out.append((i, j, n))
-        done = i + n - min_chars
+        return True
+
+    done = -1
+    for i in hit:
+        if i > done and stretch(int(i), int(where[at[i]])):
+            done = out[-1][0] + out[-1][2] - min_chars
+    # windows of b that a holds too, but that no stretch has reached
+    free = np.ones(len(y), bool)
+    for _, j, n in out:
+        free[j : j + n - min_chars + 1] = False
+    left = np.flatnonzero(free)
+    if not len(hit) or not len(left):
+        return out
+    values, first = np.unique(x[hit], return_index=True)
+    at = np.minimum(np.searchsorted(values, y[left]), len(values) - 1)
+    same, done = values[at] == y[left], -1
+    for j, k in zip(left[same], at[same]):
+        if j > done and stretch(int(hit[first[k]]), int(j)):
+            done = out[-1][1] + out[-1][2] - min_chars
     return out
 
 

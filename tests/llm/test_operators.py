@@ -391,6 +391,24 @@ def test_stretches():
     assert shared_spans.shared_stretches("", "", 200) == []
 
 
+def test_stretches_reach_every_place_of_both_sides():
+    rnd = random.Random(5)
+    word = lambda n: "".join(chr(97 + rnd.randrange(26)) for _ in range(n))
+    for _ in range(30):
+        parts = [word(220), word(260), word(300)]
+        a, b = ("".join(rnd.choice([*parts, word(30)]) + word(rnd.randrange(3)) for _ in range(6)) for _ in range(2))
+        for s, t in ((a, b), (b, a)):
+            found = shared_spans.shared_stretches(s, t, 200)
+            assert all(s[i : i + n] == t[j : j + n] for i, j, n in found) and len(set(found)) == len(found)
+            assert not any(i and j and s[i - 1] == t[j - 1] for i, j, _ in found)
+            for side, (one, other) in enumerate(((s, t), (t, s))):
+                want = {k for i in range(len(one) - 199) if one[i : i + 200] in other for k in range(i, i + 200)}
+                assert {k for x in found for k in range(x[side], x[side] + x[2])} == want
+    passage = word(250)
+    once, thrice = "1" + passage + "2", "3" + passage + "4" + passage + "5" + passage
+    assert shared_spans.shared_stretches(once, thrice, 200) == [(1, 1, 250), (1, 252, 250), (1, 503, 250)]
+
+
 def planted(seed):
     rnd = random.Random(seed)
     texts = ["".join(rnd.choice("abcdefgh 漢🙂") for _ in range(rnd.randrange(150, 900))) for _ in range(40)]
