@@ -10,7 +10,8 @@ exceed the radius. What remains is compared exactly.
 Records whose word sequences are equal form a class and are indexed once. A node with more than ``HOT`` records is not held in one
 task: its records are dealt to salted blocks and each pair of blocks is a group of its own.
 
-Cases: null texts and texts under ``min_words`` words are in no pair. Ties do not arise: links are sets. Rows that repeat an id
+Cases: null texts and texts under ``min_words`` words are in no pair, nor are texts without a word; those
+of fewer words than a sequence has are alike only if their words are equal. Ties do not arise: links are sets. Rows that repeat an id
 are one record. Texts of any length are used whole. Extra columns are ignored.
 """
 
@@ -168,7 +169,10 @@ class GrayIndex:
 
 
 def signatures(docs: DataFrame, k: int, min_words: int) -> DataFrame:
-    """``doc, cls, keys, f1, f2`` of every text with at least min_words words; cls is a hash of the word sequence."""
+    """``doc, cls, keys, f1, f2`` of every text with at least min_words words; cls is a hash of the word sequence.
+
+    Texts of fewer than k words have no keys, so they meet only their copies.
+    """
     kind = dict(docs.dtypes)["doc"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,7 +180,7 @@ def signatures(docs: DataFrame, k: int, min_words: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.iloc[lo : lo + 500]
-                rows, shingles, cls = [], [], []
+                rows, shingles, cls, short = [], [], [], []
                 for doc, text in zip(part["doc"], part["text"]):
                     w = word_hashes(text, cache)
                     if len(w) >= min_words:
@@ -185,6 +189,10 @@ def signatures(docs: DataFrame, k: int, min_words: int) -> DataFrame:
                             rows.append(doc)
                             shingles.append(s)
                             cls.append(xxhash.xxh3_128_digest(w.tobytes()))
+                        elif len(w):
+                            short.append((doc, xxhash.xxh3_128_digest(w.tobytes()), [], 0, 0))
+                if short:
+                    yield pd.DataFrame(short, columns=["doc", "cls", "keys", "f1", "f2"])
                 if rows:
                     sizes = np.array([len(s) for s in shingles])
                     mins = min_hashes(np.concatenate(shingles), np.cumsum(sizes) - sizes)

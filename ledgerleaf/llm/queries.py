@@ -50,8 +50,8 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_corpus_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of documents alike in five-word sequences to at least 0.8."""
-    return neardup.near_groups(_texts(spark, d)).withColumnRenamed("doc", "doc_id")
+    """Groups of documents alike in five-word sequences to at least 0.8; those of fewer than five words only if their words are equal."""
+    return neardup.near_groups(_texts(spark, d), min_words=1).withColumnRenamed("doc", "doc_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

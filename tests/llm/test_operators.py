@@ -150,6 +150,12 @@ def test_components_and_groups(spark):
     assert neardup.near_groups(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_groups_of_short_texts(spark):
+    texts = ["通胀放缓，增长放缓。", "通胀放缓, 增长放缓", "Rates rose", "rates ROSE!", "Rates fell", "one two three four five six seven", "One two three four five six seven.", "...", "!!", None]
+    rows = {r.doc: (r.group_id, r.n_copies) for r in neardup.near_groups(docs(spark, texts), min_words=1).collect()}
+    assert rows == {"a0": ("a0", 2), "a1": ("a0", 2), "a2": ("a2", 2), "a3": ("a2", 2), "a5": ("a5", 2), "a6": ("a5", 2)}
+
+
 # ---- p3
 
 
