@@ -57,6 +57,13 @@ def a5(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunking_stats(e, e.select(F.lit(0).alias("token_count")).limit(0)).select("elements_processed", "tables_preserved", "splits_performed")
 
 
+@query("a5_chunks_created")
+def a5_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """All figures, chunks created and their tokens among them; these come from the ordered fold of c1, so without SQL."""
+    e = elements(spark, d)
+    return chunking.chunking_stats(e, chunking.chunk_sections(e))
+
+
 @query("f3_f4_valid_chunks", f"with {ELEMENTS} select element_id, length(content) // 4 > 0 has_tokens from elements where length({stripped('content')}) > 5")
 def f3(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("content")

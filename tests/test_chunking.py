@@ -140,3 +140,12 @@ def test_random_documents_equal_the_restatement(spark):
         assert got == restated(rows, 40, 12, 90, 20), seed
         lengths.append(len(got))
     assert sum(lengths) > 200
+
+
+def test_chunks_created_are_counted(spark, smallest):
+    import __spark_entry__
+
+    queries = __spark_entry__.queries()
+    got, part = (queries[k](spark, smallest).first().asDict() for k in ("a5_chunks_created", "a5_chunking_stats"))
+    chunks = queries["c1_w7_x9_section_chunks"](spark, smallest).collect()
+    assert got == part | {"chunks_created": len(chunks), "tokens": sum(c.token_count or 0 for c in chunks)} and chunks
