@@ -43,3 +43,31 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of the shared folder, written whole: under another name first, then renamed, which replaces the old one."""
+    at, fs = _file(spark, path)
+    new = _file(spark, f"{path}.{uuid.uuid4().hex}")[0]
+    stream = fs.create(new)
+    stream.write(text.encode())
+    stream.close()
+    fs.delete(at, False)
+    fs.rename(new, at)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or None if it is not there."""
+    at, fs = _file(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
