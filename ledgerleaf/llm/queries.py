@@ -154,19 +154,51 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return shared_spans.shared_spans(_texts(spark, d)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
+    return shared_spans.shared_pairs(_texts(spark, d)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """All maximal stretches between different texts; a copy has one row with the least id of its text."""
     return shared_spans.shared_spans(_texts(spark, d)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "start_a", "start_b", "n_chars")
 
 
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
-    return shared_spans.shared_amounts(shared_spans.shared_spans(_texts(spark, d))).withColumnRenamed("doc", "doc_id")
+    return shared_spans.shared_amounts(_texts(spark, d)).withColumnRenamed("doc", "doc_id")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p2_corpus_groups, p3_found, p3_units, p4_found, p4_cleaned, p5_found, p5_cleaned, p5_templates, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_matches, p8_kept, p9_found, p9_spans, p9_shared)}
+_LONG = """docs as (select doc_id, text, length(text) n from documents where length(text) >= 200),
+reps as (select min(doc_id) doc_id, min(n) n, text, count(*) n_copies from docs group by text),
+copies as (select d.doc_id, r.doc_id rep, r.n_copies, d.n from docs d join reps r on d.text = r.text where r.n_copies > 1),
+windows as (select doc_id, i, md5(substring(text, i, 200)) w from (select doc_id, text, unnest(range(1, n - 198)) i from reps))"""
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_LEAKS = f"""ws as (select doc_id, {_WORDS.format('text')} w from documents),
+grams as (select doc_id, array_to_string(w[i : i + 7], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 6)) i from ws)),
+items as (select question_id, {_WORDS.format('query_text')} w from eval_questions union all select question_id, {_WORDS.format('expected_answer')} from eval_questions),
+asked as (select distinct question_id, array_to_string(w[i : i + 7], ' ') g from (select question_id, w, unnest(range(1, len(w) - 6)) i from items)),
+leaks as (select distinct doc_id, question_id from grams join asked using (g))"""
 ORACLES: dict[str, str] = {
+    "p2_found": f"""with ws as (select chunk_id, {_WORDS.format('any_value(content)')} w from document_chunks where content is not null group by chunk_id),
+grams as (select distinct chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g from (select chunk_id, w, unnest(range(1, len(w) - 1)) i from ws where len(w) >= 20)),
+sizes as (select chunk_id, count(*) n from grams group by chunk_id),
+met as (select a.chunk_id a, b.chunk_id b, count(*) n from grams a join grams b on a.g = b.g and a.chunk_id < b.chunk_id group by all)
+select a chunk_id_a, b chunk_id_b from met join sizes x on x.chunk_id = a join sizes y on y.chunk_id = b where met.n >= 0.6 * (x.n + y.n - met.n) - 1e-9""",
+    "p8_found": f"with {_LEAKS} select doc_id, question_id from leaks",
+    "p8_kept": f"with {_LEAKS} select doc_id, text from documents where doc_id not in (select doc_id from leaks)",
+    "p9_found": f"""with {_LONG}, links as (select distinct a.doc_id a, b.doc_id b from windows a join windows b on a.w = b.w and a.doc_id < b.doc_id),
+members as (select doc_id, coalesce(rep, doc_id) rep from docs left join copies using (doc_id)),
+pairs as (select x.doc_id x, y.doc_id y from links join members x on x.rep = a join members y on y.rep = b union all select x.doc_id, y.doc_id from copies x join copies y on x.rep = y.rep and x.doc_id < y.doc_id)
+select least(x, y) doc_id_a, greatest(x, y) doc_id_b from pairs""",
+    "p9_spans": f"""with {_LONG}, met as (select a.doc_id a, b.doc_id b, a.i i, b.i j from windows a join windows b on a.w = b.w and a.doc_id < b.doc_id),
+runs as (select *, i - row_number() over (partition by a, b, j - i order by i) run from met),
+spans as (select a, b, min(i) i, min(j) j, count(*) + 199 n from runs group by a, b, j - i, run)
+select a doc_id_a, b doc_id_b, cast(i as integer) start_a, cast(j as integer) start_b, cast(n as integer) n_chars from spans
+union all select rep, doc_id, 1, 1, cast(n as integer) from copies where doc_id <> rep""",
+    "p9_shared": f"""with {_LONG}, often as (select w from windows group by w having count(distinct doc_id) > 1),
+steps as (select doc_id, i - lag(i, 1, -200) over (partition by doc_id order by i) step from windows semi join often using (w)),
+part as (select doc_id, sum(least(step, 200)) shared from steps group by doc_id)
+select doc_id, d.n n_chars, cast(case when c.rep is not null then d.n else shared end as bigint) shared_chars, round(cast(case when c.rep is not null then d.n else shared end as double) / d.n, 6) shared_share, coalesce(n_copies, 1) n_copies
+from docs d left join part using (doc_id) left join copies c using (doc_id) where shared is not null or c.rep is not null""",
     "p4_found": r"""
 with types as (select doc_id, min(nullif(lower(trim(doc_type)), '')) source from document_metadata group by doc_id),
 chunks as (select distinct chunk_id, doc_id, content from document_chunks),

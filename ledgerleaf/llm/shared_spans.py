@@ -2,34 +2,43 @@
 
 Fingerprints are winnowed window hashes: of the rolling hashes of all ``GRAM`` characters the least of every
 ``min_chars - GRAM + 1`` neighbours is kept, so two texts that share ``min_chars`` characters share a fingerprint. The index is
-a log of sorted immutable runs, bucketed by hash. A batch is written as a run of its own and merge-joined with itself and
-with every older run (a sort-merge join without exchange, since all runs have the same buckets); when ``FAN_OUT`` runs of a
-level have gathered they are compacted into one of the next. Candidate pairs are verified on the texts.
+a log of sorted immutable runs, bucketed by hash, with a manifest in its folder, so that a later session can open it and hold new
+batches against it. A batch is written as a run of its own and merge-joined with itself and with every older run (a sort-merge
+join without exchange, since all runs have the same buckets); when ``FAN_OUT`` runs of a level have gathered they are compacted into
+one of the next. Candidate pairs are verified on the texts.
 
-A fingerprint held by more than ``HOT`` records of a run pair would give more pairs than there are true ones. For these the records
-give the hashes of all windows of ``min_chars`` characters around the fingerprint instead, and only records that agree in one of
-them are paired, so that no pair is emitted that does not share a span (but for hash collisions, which verification drops).
+Records of equal text form a class; only its least id is indexed. A fingerprint held by more than ``HOT`` records of a run would give
+more pairs than there are true ones. For these the windows of ``min_chars`` characters around the fingerprint are compared instead.
+Occurrences with the same surroundings are one, and two occurrences meet only in the first window of what they share, so no
+pair is made once for every character it shares; holders of one window are dealt to pairs of blocks.
+
+How much of a record is shared needs no pairs at all: windows are counted by their holders (in each task before they travel), and those of
+two or more records are merged to intervals.
 
 Cases: null texts and texts shorter than ``min_chars`` share nothing. Equal texts share all of their length. Rows that repeat an id
-are one record (the first text in byte order). White space counts, and case does. Extra columns are ignored.
+are one record (the text with the least digest). White space counts, and case does. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.sources.stages import drop, new_path, stage
+from ledgerleaf.sources.stages import drop, new_path, read_text, stage, write_text
 
 GRAM = 48
 FAN_OUT = 4
+BATCHES = FAN_OUT + 1  # the last one is held against a compacted run
 HOT = 64
+BLOCK = 1000
 _CHARS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 
@@ -121,22 +130,50 @@ def fingerprint_rows(docs: DataFrame, min_chars: int = 200, gram: int = GRAM) ->
     return docs.select("doc", "text").where(F.length("text") >= min_chars).mapInPandas(run, f"h long, doc {kind}")
 
 
+def dealt_pairs(rows: DataFrame, keys: list[str], carry: list[str], block: int | None = None) -> DataFrame:
+    """``*keys, x, y`` (structs of ``carry``): rows joined with themselves on ``keys``, each with itself and in both orders.
+
+    A key of more than ``block`` rows is dealt to blocks, and each pair of blocks is a key of its own, so no task gets all pairs of a key.
+    """
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block or BLOCK)).cast("int").alias("_n")).where("_n > 1")
+    dealt = rows.join(sizes, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64(*carry), F.col("_n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    x = dealt.select(*keys, F.col("_own").alias("_i"), other.alias("_j"), F.struct(*carry).alias("x"))
+    y = dealt.select(*keys, other.alias("_i"), F.col("_own").alias("_j"), F.struct(*carry).alias("y"))
+    return x.join(y, [*keys, "_i", "_j"]).select(*keys, "x", "y")
+
+
 class FingerprintLog:
-    """A log of sorted immutable runs of fingerprints.
+    """A log of sorted immutable runs of fingerprints in a folder.
 
     ``add`` writes a batch as a run of level 0 and returns it; ``runs`` are the tables of the log, oldest first. ``compact`` merges the
-    runs of a level when there are FAN_OUT of them. All runs are bucketed by hash and sorted within buckets.
+    runs of a level when there are FAN_OUT of them. All runs are bucketed by hash and sorted within buckets. The manifest is written last,
+    so a failed batch leaves the log as it was; ``FingerprintLog(spark, at)`` opens the log that a folder holds.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fan_out: int = FAN_OUT):
-        self.spark, self.fan_out = spark, fan_out
+    def __init__(self, spark: SparkSession, at: str | None = None, buckets: int | None = None, fan_out: int = FAN_OUT):
+        self.spark, self.fan_out, self.at = spark, fan_out, at or new_path(spark, "span-log")
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.levels: list[list[str]] = [[]]
+        self.n_compacted = 0
+        if (text := read_text(spark, f"{self.at}/manifest.json")) is not None:
+            held = json.loads(text)
+            self.buckets, self.levels = held["buckets"], held["levels"]
+            for name in self.runs:
+                if not spark.catalog.tableExists(name):
+                    spark.sql(f"CREATE TABLE {name} (h BIGINT, doc {held['kind']}) USING parquet CLUSTERED BY (h) SORTED BY (h, doc) INTO {self.buckets} BUCKETS LOCATION '{self.at}/{name}'")
 
     @property
     def runs(self) -> list[str]:
         return [name for level in reversed(self.levels) for name in level]
 
+    @property
+    def full(self) -> bool:
+        return len(self.levels[0]) >= self.fan_out
+
+    def _save(self, kind: str) -> None:
+        write_text(self.spark, f"{self.at}/manifest.json", json.dumps({"buckets": self.buckets, "levels": self.levels, "kind": kind}))
+
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
         (
@@ -144,7 +181,7 @@ class FingerprintLog:
             .sortWithinPartitions("h", "doc")
             .write.bucketBy(self.buckets, "h")
             .sortBy("h", "doc")
-            .option("path", new_path(self.spark, name))
+            .option("path", f"{self.at}/{name}")
             .option("compression", "zstd")
             .format("parquet")
             .saveAsTable(name)
@@ -152,8 +189,9 @@ class FingerprintLog:
         return name
 
     def add(self, rows: DataFrame) -> str:
-        name = self._write(rows)
+        name = self._write(rows.select("h", "doc"))
         self.levels[0].append(name)
+        self._save(dict(rows.dtypes)["doc"])
         return name
 
     def compact(self) -> None:
@@ -166,89 +204,119 @@ class FingerprintLog:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k + 1].append(self._write(merged))
-                self.drop(level)
                 self.levels[k] = []
+                self._save(dict(merged.dtypes)["doc"])
+                self.drop(level)
+                self.n_compacted += 1
 
     def drop(self, names: list[str]) -> None:
         for name in names:
-            at = self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()[1]
-            self.spark.sql(f"DROP TABLE {name}")
-            drop(self.spark, at)
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop(self.spark, f"{self.at}/{name}")
 
     def clear(self) -> None:
         self.drop(self.runs)
+        drop(self.spark, self.at)
         self.levels = [[]]
 
-    def probe(self, name: str) -> tuple[DataFrame, DataFrame]:
-        """(pairs, hot) of the run ``name`` with itself and the older runs.
-
-        pairs: ``a, b`` with a < b of records that share a fingerprint of few holders; hot: ``h`` of fingerprints of many.
-        """
-        new, pairs, hot = self.spark.table(name), None, None
-        for other in [*self.runs[: self.runs.index(name)], name]:
-            old = self.spark.table(other)
-            n_new, n_old = new.groupBy("h").agg(F.count(F.lit(1)).alias("n")), old.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
-            much = n_new.join(n_old, "h").where((F.col("n") > HOT) | (F.col("m") > HOT)).select("h")
-            x = new.join(much, "h", "left_anti").select("h", F.col("doc").alias("x"))
-            y = old.select("h", F.col("doc").alias("y"))
-            if other == name:
-                both = x.join(y, "h").where(F.col("x") < F.col("y"))
-            else:
-                both = x.join(y, "h").where(F.col("x") != F.col("y"))
+    def hot(self, name: str) -> DataFrame:
+        """``h`` of the fingerprints that more than HOT records of a run hold; no exchange, since a bucket has all of them."""
+        return self.spark.table(name).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("h")
+
+    def probe(self, name: str, hot: DataFrame) -> DataFrame:
+        """Pairs ``a, b`` (a < b, some several times) of the run ``name`` with itself and the older runs by fingerprints that aren't hot."""
+        new, pairs = self.spark.table(name), None
+        x = new.join(hot, "h", "left_anti").select("h", F.col("doc").alias("x"))
+        for other in self.runs[: self.runs.index(name) + 1]:
+            both = x.join(self.spark.table(other).select("h", F.col("doc").alias("y")), "h")
+            both = both.where(F.col("x") < F.col("y")) if other == name else both.where(F.col("x") != F.col("y"))
             both = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             pairs = both if pairs is None else pairs.unionByName(both)
-            hot = much if hot is None else hot.unionByName(much)
-        return pairs.distinct(), hot.distinct()
+        return pairs
+
+
+def _common(a: str, b: str, i: int, j: int, n: int) -> int:
+    """How far a from i and b from j agree, known to for n characters; by blocks that double."""
+    step = 256
+    while True:
+        s, t = a[i + n : i + n + step], b[j + n : j + n + step]
+        if s == t and len(s) == step:
+            n, step = n + step, 2 * step
+            continue
+        m = min(len(s), len(t))
+        differ = np.flatnonzero(_codes(s[:m]) != _codes(t[:m]))
+        return n + (int(differ[0]) if len(differ) else m)
 
 
 def shared_stretches(a: str, b: str, min_chars: int) -> list[tuple[int, int, int]]:
-    """Maximal equal stretches (start in a, start in b, length) of at least min_chars characters; equal texts give one.
+    """All maximal equal stretches (start in a, start in b, length) of at least min_chars characters; equal texts give at least one.
 
-    Hashes of all windows find them, comparing the characters proves them. Together they hold every place of either text that the
-    other has too. A place is given with the first place of the other text, so that what recurs gives no row for every two places.
+    A stretch begins at every two places whose windows are equal and whose characters before are not. Hashes of all windows, sorted by
+    the character before, give these beginnings and no others; comparing the characters proves them. So the work follows the number
+    of stretches, also in texts with a period.
     """
-    if a == b:
-        return [(0, 0, len(a))] if len(a) >= min_chars else []
-    x, y = gram_hashes(_codes(a), min_chars), gram_hashes(_codes(b), min_chars)
-    if not len(x) or not len(y):
+    if min(len(a), len(b)) < min_chars:
         return []
-    values, where = np.unique(y, return_index=True)
-    at = np.minimum(np.searchsorted(values, x), len(values) - 1)
-    hit = np.flatnonzero(values[at] == x)
+    ca, cb = _codes(a), _codes(b)
+    x, y = gram_hashes(ca, min_chars), gram_hashes(cb, min_chars)
+    value, inverse = np.unique(np.concatenate([x, y]), return_inverse=True)
+    # the character before; a text's begin equals nothing
+    before = lambda c, n, none: np.concatenate([[none], c[: n - 1].astype(np.int64)])
+    ix, iy = inverse[: len(x)].astype(np.int64) << 21, inverse[len(x) :].astype(np.int64) << 21
+    kx, ky = ix + before(ca, len(x), 0x1FFFFE), iy + before(cb, len(y), 0x1FFFFF)
+    order = np.argsort(kx, kind="stable")
+    kx = kx[order]
+    lo, hi = np.searchsorted(kx, iy), np.searchsorted(kx, iy + (1 << 21))
+    same_lo, same_hi = np.searchsorted(kx, ky), np.searchsorted(kx, ky, "right")
     out: list[tuple[int, int, int]] = []
+    for j in np.flatnonzero(hi - lo > same_hi - same_lo):
+        for part in (order[lo[j] : same_lo[j]], order[same_hi[j] : hi[j]]):
+            for i in part.tolist():
+                if a[i : i + min_chars] == b[j : j + min_chars]:
+                    out.append((i, int(j), _common(a, b, i, int(j), min_chars)))
+    return sorted(out)
+
+
+class _Windows:
+    """Sorted window hashes of texts, kept while there are not too many characters."""
+
+    def __init__(self, min_chars: int):
+        self.min_chars, self.size, self.held = min_chars, 0, {}
+
+    def __call__(self, key, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if key not in self.held:
+            if self.size > _CHARS:
+                self.held.clear()
+                self.size = 0
+            self.size += len(text)
+            h = gram_hashes(_codes(text), self.min_chars)
+            order = np.argsort(h, kind="stable")
+            self.held[key] = h[order], order
+        return self.held[key]
+
+
+def _share_any(min_chars: int):
+    """Pairs that share a span; one is enough, so the search ends with the first that is proven."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        windows = _Windows(min_chars)
+        for batch in batches:
+            rows = []
+            for a, b, s, t in batch[["a", "b", "text_a", "text_b"]].itertuples(index=False):
+                h, order = windows(a, s)
+                y, other = windows(b, t)
+                at = np.minimum(np.searchsorted(h, y), len(h) - 1)
+                for k in np.flatnonzero(h[at] == y):
+                    i, j = int(order[at[k]]), int(other[k])
+                    if s[i : i + min_chars] == t[j : j + min_chars]:
+                        rows.append((a, b))
+                        break
+            yield pd.DataFrame(rows, columns=["a", "b"])
+
+    return run
 
-    def stretch(i: int, j: int) -> bool:
-        if a[i : i + min_chars] != b[j : j + min_chars]:
-            return False
-        n = min_chars
-        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-            n += 1
-        while i and j and a[i - 1] == b[j - 1]:
-            i, j, n = i - 1, j - 1, n + 1
-        out.append((i, j, n))
-        return True
-
-    done = -1
-    for i in hit:
-        if i > done and stretch(int(i), int(where[at[i]])):
-            done = out[-1][0] + out[-1][2] - min_chars
-    # windows of b that a holds too, but that no stretch has reached
-    free = np.ones(len(y), bool)
-    for _, j, n in out:
-        free[j : j + n - min_chars + 1] = False
-    left = np.flatnonzero(free)
-    if not len(hit) or not len(left):
-        return out
-    values, first = np.unique(x[hit], return_index=True)
-    at = np.minimum(np.searchsorted(values, y[left]), len(values) - 1)
-    same, done = values[at] == y[left], -1
-    for j, k in zip(left[same], at[same]):
-        if j > done and stretch(int(hit[first[k]]), int(j)):
-            done = out[-1][1] + out[-1][2] - min_chars
-    return out
-
-
-def _verify(min_chars: int):
+
+def _all_stretches(min_chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -259,62 +327,175 @@ def _verify(min_chars: int):
     return run
 
 
-def _hot_pairs(docs: DataFrame, hot: DataFrame, min_chars: int, gram: int) -> DataFrame:
-    """Pairs of records that agree in a window of min_chars around a hot fingerprint."""
+def _hot_pairs(docs: DataFrame, held: DataFrame, min_chars: int, gram: int) -> DataFrame:
+    """Pairs of records that agree in a window of min_chars around a hot fingerprint. held: ``doc, held``, the hot ones of each record."""
     kind = dict(docs.dtypes)["doc"]
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, text, held in zip(batch["doc"], batch["text"], batch["held"]):
-                h = gram_hashes(_codes(text), gram).view(np.int64)
-                whole = gram_hashes(_codes(text), min_chars).view(np.int64)
+            for key, text, hot in zip(batch["doc"], batch["text"], batch["held"]):
+                codes = _codes(text)
+                whole = gram_hashes(codes, min_chars).view(np.int64)
                 keep = np.zeros(len(whole), bool)
-                for i in np.flatnonzero(np.isin(h, np.asarray(held))):
+                for i in np.flatnonzero(np.isin(gram_hashes(codes, gram).view(np.int64), np.asarray(hot))):
                     keep[max(0, i - min_chars + gram) : i + 1] = True
-                values = np.unique(whole[keep])
-                yield pd.DataFrame({"w": values, "doc": [key] * len(values)})
-
-    fp = fingerprint_rows(docs, min_chars, gram).join(hot, "h", "left_semi")
-    held = fp.groupBy("doc").agg(F.collect_set("h").alias("held"))
-    rows = docs.join(held, "doc").select("doc", "text", "held").mapInPandas(windows, f"w long, doc {kind}")
-    rows = stage(rows, "hot-windows")
-    return rows.select("w", F.col("doc").alias("a")).join(rows.select("w", F.col("doc").alias("b")), "w").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], keep.view(np.int8), [0]])))
+                # a stretch of windows that all stand around hot fingerprints; equal stretches have equal marks
+                for lo, hi in edges.reshape(-1, 2):
+                    w = whole[lo:hi]
+                    mark = int(gram_hashes(w.view(np.uint64), len(w)).view(np.int64)[0])
+                    yield pd.DataFrame({"w": w, "before": pd.Series(np.concatenate([[0], w[:-1]])), "first": np.arange(len(w)) == 0, "mark": mark, "doc": [key] * len(w)})
+
+    rows = stage(docs.join(held, "doc").select("doc", "text", "held").mapInPandas(windows, f"w long, before long, first boolean, mark long, doc {kind}"), "hot-windows")
+    holders = stage(rows.select("mark", "doc").distinct(), "hot-holders")
+    kinds = rows.groupBy("mark", "w", "before", "first").agg(F.count(F.lit(1)).alias("n")).select("mark", "w", "before", "first")
+    met = dealt_pairs(kinds, ["w"], ["mark", "before", "first"]).where("x.mark < y.mark and (x.first or y.first or x.before != y.before)")
+    met = met.select(F.col("x.mark").alias("m"), F.col("y.mark").alias("mark")).distinct()
+    other = met.join(holders.select(F.col("mark").alias("m"), F.col("doc").alias("x")), "m").select("mark", "x").distinct()
+    across = other.join(holders.withColumnRenamed("doc", "y"), "mark").select("x", "y")
+    within = dealt_pairs(holders, ["mark"], ["doc"]).select(F.col("x.doc").alias("x"), F.col("y.doc").alias("y"))
+    both = across.unionByName(within.where(F.col("x") < F.col("y"))).where(F.col("x") != F.col("y"))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+@dataclass(frozen=True)
+class Shared:
+    """What the log gives: candidate pairs ``a, b`` of classes of equal texts, copies ``doc, rep, n_copies, n_chars`` of classes of several
+    records, the classes' texts ``doc, text``, their fingerprints ``h, doc``, and how often the log was compacted."""
+
+    pairs: DataFrame
+    copies: DataFrame
+    texts: DataFrame
+    prints: DataFrame
+    n_compacted: int
+
+
+def _digest(text: str = "text") -> Column:
+    return F.unhex(F.md5(text))
+
+
+def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows ``doc, text`` without those whose text a lesser id has, ``doc, rep, n_copies, n_chars`` of texts of several records)."""
+    once = docs.groupBy("doc").agg(F.min(F.struct(_digest().alias("digest"), F.length("text").alias("n_chars"))).alias("x")).select("doc", "x.*")
+    several = once.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n_copies")).where(F.col("n_copies") > 1)
+    copies = stage(once.join(several, "digest").select("doc", "rep", "n_copies", "n_chars"), "span-copies")
+    return docs.join(copies.where(F.col("doc") != F.col("rep")).select("doc"), "doc", "left_anti"), copies
+
+
+def search(docs: DataFrame, min_chars: int = 200, batches: int = BATCHES, gram: int = GRAM, log: FingerprintLog | None = None, earlier: DataFrame | None = None) -> Shared:
+    """Candidates of all records, which come in ``batches`` batches (by a hash of the id, as if they arrived one after another), each
+    held against the log of the earlier ones. A log that is given is kept, else it is deleted. ``earlier`` (``doc, text``) are the records that
+    a given log holds from before; of their classes the representatives are met.
+    """
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc"]
+    docs = docs.select("doc", "text").where(F.col("doc").isNotNull() & (F.length("text") >= min_chars))
+    texts, copies = text_classes(docs)
+    prints = stage(fingerprint_rows(texts, min_chars, gram).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")), "fingerprints")
+    known = texts if earlier is None else texts.unionByName(earlier.select("doc", "text"))
+    own, pairs = log or FingerprintLog(spark), None
+    hot = spark.createDataFrame([], "h long")
+    for name in own.runs:
+        hot = hot.unionByName(own.hot(name))
+    waiting: list[str] = []
+    for k in range(batches):
+        waiting.append(own.add(prints.where(F.col("batch") == k)))
+        if own.full or k + 1 == batches:  # compaction deletes runs, so what waits is probed before
+            for name in waiting:
+                hot = hot.unionByName(own.hot(name))
+            hot = stage(hot.distinct(), "span-hot")
+            found = own.probe(waiting[0], hot)
+            for name in waiting[1:]:
+                found = found.unionByName(own.probe(name, hot))
+            found, waiting = stage(found, "span-pairs"), []
+            pairs = found if pairs is None else pairs.unionByName(found)
+            own.compact()
+    if not hot.isEmpty():
+        held = None
+        for name in own.runs:
+            x = spark.table(name).join(hot, "h", "left_semi")
+            held = x if held is None else held.unionByName(x)
+        pairs = pairs.unionByName(_hot_pairs(known, stage(held.groupBy("doc").agg(F.collect_set("h").alias("held")), "hot-held"), min_chars, gram))
+    if log is None:
+        own.clear()
+    return Shared(stage(pairs.select(F.col("a").cast(kind), F.col("b").cast(kind)).distinct(), "span-candidates"), copies, known, prints.select("h", "doc"), own.n_compacted)
+
+
+def _sides(found: Shared) -> DataFrame:
+    """``a, b, text_a, text_b`` of the candidates."""
+    members = found.pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    texts = stage(found.texts.join(members, "doc", "left_semi").groupBy("doc").agg(F.min_by("text", _digest()).alias("text")), "span-texts")
+    return found.pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").sortWithinPartitions("a").select("a", "b", "text_a", "text_b")
+
+
+def shared_pairs(docs: DataFrame, min_chars: int = 200, batches: int = BATCHES, gram: int = GRAM, log: FingerprintLog | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """All pairs ``a, b`` (ids, a < b) of records that share a span, pairs of equal texts included."""
+    found = search(docs, min_chars, batches, gram, log, earlier)
+    kind = dict(docs.dtypes)["doc"]
+    links = stage(_sides(found).mapInPandas(_share_any(min_chars), f"a {kind}, b {kind}"), "span-links")
+    x = found.copies.select(F.col("rep").alias("a"), F.col("doc").alias("x"))
+    y = found.copies.select(F.col("rep").alias("b"), F.col("doc").alias("y"))
+    across = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    within = dealt_pairs(found.copies.select("rep", "doc"), ["rep"], ["doc"]).select(F.col("x.doc").alias("x"), F.col("y.doc").alias("y")).where(F.col("x") < F.col("y"))
+    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def shared_spans(docs: DataFrame, min_chars: int = 200, batches: int = 2, gram: int = GRAM) -> DataFrame:
-    """Verified stretches ``a, b, start_a, start_b, n_chars, size_a, size_b`` (a < b, places 1-based, sizes of the texts) of all pairs of records.
+def shared_spans(docs: DataFrame, min_chars: int = 200, batches: int = BATCHES, gram: int = GRAM, log: FingerprintLog | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """All maximal stretches ``a, b, start_a, start_b, n_chars, size_a, size_b`` (a < b, places 1-based, sizes of the texts).
 
-    docs: ``doc, text``. The records come in ``batches`` batches (by a hash of the id, as if they arrived one after another), each held
-    against the log of the earlier ones.
+    Of equal texts the least id stands for all: the others have one row each, with that id and the whole text.
     """
-    spark = docs.sparkSession
+    found = search(docs, min_chars, batches, gram, log, earlier)
     kind = dict(docs.dtypes)["doc"]
+    spans = _sides(found).mapInPandas(_all_stretches(min_chars), f"a {kind}, b {kind}, start_a int, start_b int, n_chars int, size_a int, size_b int")
+    one, size = F.lit(1), F.col("n_chars")
+    copies = found.copies.where(F.col("doc") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc").alias("b"), one.alias("start_a"), one.alias("start_b"), size, size.alias("size_a"), size.alias("size_b"))
+    return spans.unionByName(copies)
+
+
+def shared_amounts(docs: DataFrame, min_chars: int = 200, batches: int = BATCHES, gram: int = GRAM) -> DataFrame:
+    """``doc, n_chars, shared_chars, shared_share, n_copies`` of every record of which a window of min_chars stands in another too.
+
+    n_copies counts the records of the same text. Fingerprints in the log tell which windows can be shared; each is known by its own hash and
+    its fingerprint's, 128 bits together. No pair of records is made.
+    """
+    marked, copies = search_windows(docs, min_chars, batches, gram)
+    w = Window.partitionBy("doc").orderBy("at")
+    fresh = F.least(F.lit(min_chars), F.col("at") - F.coalesce(F.lag("at").over(w), F.lit(-min_chars)))
+    part = marked.withColumn("fresh", fresh).groupBy("doc").agg(F.sum("fresh").alias("shared_chars"), F.max("size").alias("n_chars"))
+    whole = copies.select("doc", F.col("n_chars").alias("size"), "n_copies")
+    both = part.join(whole, "doc", "full").select(
+        "doc", F.coalesce("size", "n_chars").cast("long").alias("n_chars"), F.coalesce("size", "shared_chars").cast("long").alias("shared_chars"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")
+    )
+    return both.select("doc", "n_chars", "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("shared_share"), "n_copies")
+
+
+def search_windows(docs: DataFrame, min_chars: int, batches: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(``doc, at, size`` of windows that stand in two or more different texts, copies as ``text_classes`` gives them)."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc"]
     docs = docs.select("doc", "text").where(F.col("doc").isNotNull() & (F.length("text") >= min_chars))
-    prints = stage(fingerprint_rows(docs, min_chars, gram).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")), "fingerprints")
-    log, pairs, hot = FingerprintLog(spark), None, None
+    texts, copies = text_classes(docs)
+    prints = stage(fingerprint_rows(texts, min_chars, gram).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")), "fingerprints")
+    log = FingerprintLog(spark)
     for k in range(batches):
-        name = log.add(prints.where(F.col("batch") == k).select("h", "doc"))
-        found, often = log.probe(name)
-        found, often = stage(found, "span-pairs"), stage(often, "span-hot")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        hot = often if hot is None else hot.unionByName(often)
+        log.add(prints.where(F.col("batch") == k))
         log.compact()
+    runs = None
+    for name in log.runs:
+        x = spark.table(name).groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        runs = x if runs is None else runs.unionByName(x)
+    several = stage(runs.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") != F.col("hi")).select("h"), "shared-prints")
     log.clear()
-    if not hot.isEmpty():
-        pairs = pairs.unionByName(_hot_pairs(docs, hot.distinct(), min_chars, gram))
-    pairs = pairs.distinct()
-    members = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = stage(docs.join(members, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")), "span-texts")
-    sides = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return sides.select("a", "b", "text_a", "text_b").mapInPandas(_verify(min_chars), f"a {kind}, b {kind}, start_a int, start_b int, n_chars int, size_a int, size_b int")
-
-
-def shared_amounts(spans: DataFrame) -> DataFrame:
-    """``doc, n_chars, shared_chars, shared_share, n_others`` of every record that shares anything: the union of its stretches."""
-    # both sides of a stretch from one reading; a union of two selections would verify all pairs twice
-    side = lambda x, y: F.struct(F.col(x).alias("doc"), F.col(y).alias("other"), F.col(f"start_{x}").alias("lo"), F.col(f"size_{x}").alias("size"))
-    both = spans.select("n_chars", F.explode(F.array(side("a", "b"), side("b", "a"))).alias("s")).select("s.*", (F.col("s.lo") + F.col("n_chars")).alias("hi"))
-    w = Window.partitionBy("doc").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.col("hi") - F.greatest("lo", F.coalesce(F.max("hi").over(w), F.lit(0)))
-    shared = both.withColumn("new", F.greatest(F.lit(0), fresh)).groupBy("doc").agg(F.max("size").alias("n_chars"), F.sum("new").alias("shared_chars"), F.countDistinct("other").alias("n_others"))
-    return shared.select("doc", "n_chars", "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("shared_share"), "n_others")
+    held = prints.join(several, "h", "left_semi").groupBy("doc").agg(F.collect_set("h").alias("held"))
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, text, shared in zip(batch["doc"], batch["text"], batch["held"]):
+                codes = _codes(text)
+                least = window_minima(gram_hashes(codes, gram), min_chars - gram + 1).view(np.int64)
+                at = np.flatnonzero(np.isin(least, np.asarray(shared)))
+                yield pd.DataFrame({"w": gram_hashes(codes, min_chars).view(np.int64)[at], "h": least[at], "doc": [key] * len(at), "at": at.astype(np.int32), "size": np.int32(len(text))})
+
+    once = texts.join(held, "doc").groupBy("doc").agg(F.min_by("text", _digest()).alias("text"), F.first("held").alias("held"))
+    rows = stage(once.mapInPandas(windows, f"w long, h long, doc {kind}, at int, size int"), "shared-windows")
+    known = rows.groupBy("w", "h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where(F.col("lo") != F.col("hi")).select("w", "h")
+    return rows.join(known, ["w", "h"], "left_semi").select("doc", "at", "size"), copies

@@ -393,26 +393,39 @@ def test_stretches():
     rnd = random.Random(2)  # text without a period, else it shares stretches with itself at other places
     a = "x" * 30 + "".join(chr(97 + rnd.randrange(23)) for _ in range(300)) + "tail"
     assert shared_spans.shared_stretches(a, "zz" + a[20:260] + "yy", 200) == [(20, 2, 240)]
-    assert shared_spans.shared_stretches(a, a, 200) == [(0, 0, len(a))] and shared_spans.shared_stretches("a" * 300, "a" * 250, 200)[0][2] >= 200
-    assert shared_spans.shared_stretches("", "", 200) == []
+    assert shared_spans.shared_stretches(a, a, 200) == [(0, 0, len(a))]
+    assert shared_spans.shared_stretches("", "", 200) == [] == shared_spans.shared_stretches(a, "short", 200)
+    # a period gives as many stretches as there are shifts, not as there are pairs of windows
+    assert len(shared_spans.shared_stretches("a" * 3000, "a" * 2500, 200)) == 2801 + 2301 - 1
 
 
-def test_stretches_reach_every_place_of_both_sides():
+def maximal(a, b, n):
+    """Brute force over diagonals."""
+    out = []
+    for d in range(-len(b) + 1, len(a)):
+        i, run = max(0, d), 0
+        while i <= len(a) and i - d <= len(b):
+            if i < len(a) and i - d < len(b) and a[i] == b[i - d]:
+                run += 1
+            else:
+                if run >= n:
+                    out.append((i - run, i - run - d, run))
+                run = 0
+            i += 1
+    return sorted(out)
+
+
+def test_stretches_are_all_maximal_ones():
     rnd = random.Random(5)
     word = lambda n: "".join(chr(97 + rnd.randrange(26)) for _ in range(n))
-    for _ in range(30):
-        parts = [word(220), word(260), word(300)]
-        a, b = ("".join(rnd.choice([*parts, word(30)]) + word(rnd.randrange(3)) for _ in range(6)) for _ in range(2))
+    for _ in range(12):
+        parts = [word(30), word(45), word(60), "ab" * 20]
+        a, b = ("".join(rnd.choice([*parts, word(9)]) + word(rnd.randrange(3)) for _ in range(6)) for _ in range(2))
         for s, t in ((a, b), (b, a)):
-            found = shared_spans.shared_stretches(s, t, 200)
-            assert all(s[i : i + n] == t[j : j + n] for i, j, n in found) and len(set(found)) == len(found)
-            assert not any(i and j and s[i - 1] == t[j - 1] for i, j, _ in found)
-            for side, (one, other) in enumerate(((s, t), (t, s))):
-                want = {k for i in range(len(one) - 199) if one[i : i + 200] in other for k in range(i, i + 200)}
-                assert {k for x in found for k in range(x[side], x[side] + x[2])} == want
-    passage = word(250)
-    once, thrice = "1" + passage + "2", "3" + passage + "4" + passage + "5" + passage
-    assert shared_spans.shared_stretches(once, thrice, 200) == [(1, 1, 250), (1, 252, 250), (1, 503, 250)]
+            assert shared_spans.shared_stretches(s, t, 25) == maximal(s, t, 25)
+    p, x, y = word(300), word(50), word(250)
+    assert shared_spans.shared_stretches(p + y, p[:210] + x + p + y, 200) == [(0, 0, 210), (0, 260, 550)]
+    assert shared_spans.shared_stretches("1" + p + "2", "3" + p + "4" + p + "5" + p, 200) == [(1, 1, 300), (1, 302, 300), (1, 603, 300)]
 
 
 def planted(seed):
@@ -436,12 +449,32 @@ def brute(texts, n):
 
 @pytest.mark.parametrize("hot", [64, 1])
 def test_shared_spans_against_brute_force(spark, monkeypatch, hot):
-    """With hot at 1 nearly every shared fingerprint takes the way of the hot ones."""
+    """With hot at 1 nearly every shared fingerprint takes the way of the hot ones, and blocks of two rows deal all groups."""
     monkeypatch.setattr(shared_spans, "HOT", hot)
-    texts = planted(3)
+    monkeypatch.setattr(shared_spans, "BLOCK", 1000 if hot > 1 else 2)
+    texts = planted(3) + [planted(3)[0]] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc long, text string").withColumn("h", F.lit("clash"))
+    got = [(r.a, r.b) for r in shared_spans.shared_pairs(df.unionByName(df.limit(5)), 200).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(texts, 200)
+
+
+def test_spans_and_amounts_against_brute_force(spark):
+    texts = planted(4)
+    texts += [texts[1] + "|" + texts[1][:230], texts[1] * 2]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc long, text string")
-    got = {(r.a, r.b) for r in shared_spans.shared_spans(df, 200, batches=3).collect()}
-    assert got == brute(texts, 200)
+    reps = {i: t for i, t in enumerate(texts) if t and texts.index(t) == i}
+    want = {(i, j, p + 1, q + 1, n) for (i, s), (j, t) in itertools.combinations(reps.items(), 2) for p, q, n in shared_spans.shared_stretches(s, t, 200)}
+    copies = {(texts.index(t), i, 1, 1, len(t)) for i, t in enumerate(texts) if t and texts.index(t) != i and len(t) >= 200}
+    assert {(r.a, r.b, r.start_a, r.start_b, r.n_chars) for r in shared_spans.shared_spans(df).collect()} == want | copies
+    places = {}
+    for i, t in reps.items():
+        for k in range(len(t) - 199):
+            places.setdefault(t[k : k + 200], set()).add(i)
+    covered = {i: {c for k in range(len(t) - 199) if len(places[t[k : k + 200]]) > 1 for c in range(k, k + 200)} for i, t in reps.items()}
+    amounts = {i: len(t) if texts.count(t) > 1 and len(t) >= 200 else len(covered[texts.index(t)]) for i, t in enumerate(texts) if t}
+    got = {r.doc: r for r in shared_spans.shared_amounts(df).collect()}
+    assert {i: r.shared_chars for i, r in got.items()} == {i: n for i, n in amounts.items() if n}
+    assert got[0].n_copies == texts.count(texts[0]) and got[0].shared_share == 1.0
 
 
 def test_log_compacts_and_keeps_all_rows(spark):
@@ -453,9 +486,24 @@ def test_log_compacts_and_keeps_all_rows(spark):
     log.clear()
 
 
-def test_shared_amounts(spark):
-    spans = spark.createDataFrame([(1, 2, 1, 5, 200, 400, 400), (1, 3, 101, 1, 200, 400, 250)], "a long, b long, start_a int, start_b int, n_chars int, size_a int, size_b int")
-    got = {r.doc: (r.shared_chars, r.n_others, r.n_chars, r.shared_share) for r in shared_spans.shared_amounts(spans).collect()}
-    assert got == {1: (300, 2, 400, 0.75), 2: (200, 1, 400, 0.5), 3: (200, 1, 250, 0.8)}
+def test_queries_compact_and_a_kept_log_meets_later_batches(spark):
+    texts = planted(6)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    first, later = (spark.createDataFrame(x, "doc long, text string") for x in (rows[:30], rows[30:40]))
+    assert shared_spans.search(first).n_compacted == 1
+    at = shared_spans.new_path(spark, "kept-log")
+    a = {(r.a, r.b) for r in shared_spans.shared_pairs(first, log=shared_spans.FingerprintLog(spark, at)).collect()}
+    # another session has the folder, not the tables
+    for name in shared_spans.FingerprintLog(spark, at).runs:
+        spark.sql(f"DROP TABLE {name}")
+    again = shared_spans.FingerprintLog(spark, at)
+    b = {(r.a, r.b) for r in shared_spans.shared_pairs(later, batches=1, log=again, earlier=first).collect()}
+    assert a | b == brute(texts[:40], 200) and not a & b
+    again.clear()
+
+
+def test_spans_of_nothing(spark):
     empty = spark.createDataFrame([], "doc long, text string")
-    assert shared_spans.shared_spans(empty).count() == 0
+    nothing = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (None, "x" * 300)], "doc long, text string")
+    for df in (empty, nothing):
+        assert shared_spans.shared_pairs(df).count() == 0 and shared_spans.shared_spans(df).count() == 0 and shared_spans.shared_amounts(df).count() == 0
