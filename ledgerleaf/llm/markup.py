@@ -1,16 +1,20 @@
-"""Markup residue in text: HTML, Markdown, wiki and LaTeX.
+"""Markup residue in text: HTML, Markdown, wiki and LaTeX, by deducing the templates of a host's pages.
 
-A lexer finds the traces of each language, a single one being enough; a converter turns them into clean text and a list of blocks that
-keep headings, lists, tables, code and formulas. ``deduce_templates`` works on all pages of a host: tokens that have the same
-occurrence vector (so many times on each page) form an equivalence class, valid classes are ordered and nested into a template, and
-what stands between their tokens are the slots. A trace that stands once in one page has no partner with which to form a class,
-therefore finding residue rests on the lexer and not on the templates.
+A lexer cuts every page's markup into tokens: what a mark looks like without its content, its language and its role (the element around a
+tag, or whether a mark begins a line). Tokens of a host with the same occurrence vector (so many times on each page) form an
+equivalence class. A class is valid if on every page its tokens come in one order, as often as the class occurs; tokens of other classes get a
+narrower role, the slot they stand in, and are grouped once more. Valid classes are nested by the places of their occurrences
+on the pages and make up the host's template; what stands between template tokens are the slots. A page holds residue of a language if a
+template token of it stands there, or if a token is left in a slot: a trace that stands once on one page has no partner with
+which to form a class, so the exact check of the slots is what finds it.
+
+A converter turns marked texts into clean text and a list of blocks that keep headings, lists, tables, code and formulas.
 
 Look-alikes that are none: ``[TABLE]`` and ``[FIGURE]``, CSV, JSON, bullets, file paths, money, comparison signs, ``R&D``, snake_case
 names, lone stars and rows of stars or dashes.
 
-Cases: null and empty text hold no markup and clean to null and to the empty text. Unclosed and stray marks count. Rows that repeat
-an id give their result once. Extra columns are ignored.
+Cases: null and empty text hold no markup and clean to null and to the empty text. Unclosed and stray marks count. Pages without a
+host form a group of their own. Rows that repeat an id count once (``clean`` takes the least text). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +24,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions.text import strip
+from ledgerleaf.sources.stages import stage
+
 LANGUAGES = ("html", "markdown", "wiki", "latex")
 #: Element names of the HTML standard, current and obsolete (fixed values).
 _ELEMENTS = (
@@ -75,16 +82,145 @@ def may_hold_markup(text: Column) -> Column:
     return text.rlike(_SIGNS)
 
 
-def find_markup(docs: DataFrame) -> DataFrame:
-    """``doc, markup``, a row for each language in each text. docs: ``doc, text``."""
-    kind = dict(docs.dtypes)["doc"]
+_VOID = {"br", "hr", "img", "input", "meta", "link", "col"}
+#: Elements that end an open one of their own kind.
+_CLOSING = {"p", "li", "tr", "td", "th", "dd", "dt", "option"}
+_EDGES = re.compile(r"^([^\w\s]*)(?:.*?)([^\w\s]*)$", re.S)
+
+
+def _form(language: str, mark: str) -> str:
+    """What a mark looks like without its content."""
+    if language == "latex" and mark[0] == "\\":
+        return mark
+    if re.fullmatch(r"[-|: ]+", mark):
+        return "|---"
+    lead, trail = _EDGES.match(mark.strip()).groups()
+    return f"{lead}…{trail}"
+
+
+def lex(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, language, token) of every mark, in order; a token is the mark's form and its role."""
+    found = sorted((m.start(), m.end(), k, m[0]) for k in LANGUAGES if any(s in text for s in _MARK_OF[k]) for m in PATTERNS[k].finditer(text))
+    out, open_ = [], []
+    for start, end, language, mark in found:
+        if language != "html":
+            role = "line" if not text[:start].rpartition("\n")[2].strip() else "inside"
+            out.append((start, end, language, f"{_form(language, mark)} {role}"))
+        elif mark[0] == "<" and mark[1] != "!":
+            name = re.match(r"</?(\w+)", mark)[1].lower()
+            if mark[1] == "/":
+                if name in open_:
+                    del open_[len(open_) - 1 - open_[::-1].index(name) :]
+                out.append((start, end, language, f"</{name}> {open_[-1] if open_ else ''}"))
+            else:
+                if open_ and open_[-1] == name and name in _CLOSING:
+                    open_.pop()
+                out.append((start, end, language, f"<{name}> {open_[-1] if open_ else ''}"))
+                if name not in _VOID and not mark.endswith("/>"):
+                    open_.append(name)
+        else:
+            out.append((start, end, language, f"{mark.lower() if mark[0] == '<' else mark} {open_[-1] if open_ else ''}"))
+    return out
+
+
+def page_tokens(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``host, page, at, start, end, language, token`` of all marks. pages: ``page, owner, text``; hosts: ``owner, host``, one row per owner.
+
+    Only tokens travel; pages without markup are told in the JVM. Owners without a host have the host "".
+    """
+    page, owner = dict(pages.dtypes)["page"], dict(pages.dtypes)["owner"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, k) for d, t in zip(batch["doc"], batch["text"]) for k in languages(t)]
-            yield pd.DataFrame(rows, columns=["doc", "markup"])
+            rows = [(p, o, n, *t) for p, o, text in batch[["page", "owner", "text"]].itertuples(index=False) for n, t in enumerate(lex(text))]
+            yield pd.DataFrame(rows, columns=["page", "owner", "at", "start", "end", "language", "token"])
 
-    return docs.select("doc", "text").where(may_hold_markup(F.col("text"))).mapInPandas(run, f"doc {kind}, markup string").distinct()
+    marked = pages.select("page", "owner", "text").where(may_hold_markup(F.col("text")))
+    tokens = marked.mapInPandas(run, f"page {page}, owner {owner}, at int, start int, end int, language string, token string").distinct()
+    named = tokens.join(hosts.where(F.col("host").isNotNull()), "owner", "left")
+    return named.select(F.coalesce("host", F.lit("")).alias("host"), "page", "at", "start", "end", "language", "token")
+
+
+def _classes(tokens: DataFrame, min_pages: int, label: str) -> DataFrame:
+    """``host, token, class_id, n_pages, n_tokens, no`` of the members of valid classes.
+
+    The occurrence vector of a token is kept as a sum of hashes of (page, count), so that no vector is ever gathered. A class's tokens all
+    stand on one page, so they are no more than a page has.
+    """
+    each = tokens.groupBy("host", "page", "token").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    vectors = each.groupBy("host", "token").agg(F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("v"), F.count(F.lit(1)).alias("n_pages"), F.sum("first").alias("first"))
+    equal = vectors.where(F.col("n_pages") >= min_pages).groupBy("host", "v", "n_pages").agg(F.sort_array(F.collect_list(F.struct("first", "token"))).alias("x")).where(F.size("x") >= 2)
+    members = equal.select("host", F.xxhash64("host", "v", "n_pages").alias("class_id"), "n_pages", F.size("x").alias("n_tokens"), F.posexplode("x").alias("no", "t")).select("host", F.col("t.token").alias("token"), "class_id", "n_pages", "n_tokens", "no")
+    members = stage(members, label)
+    # on every page the tokens must follow one another as the class has them, again and again
+    turn = F.row_number().over(Window.partitionBy("host", "page", "class_id").orderBy("at")) - 1
+    wrong = tokens.join(members, ["host", "token"]).withColumn("turn", turn).where(F.col("turn") % F.col("n_tokens") != F.col("no")).select("class_id").distinct()
+    return members.join(wrong, "class_id", "left_anti")
+
+
+def templated(tokens: DataFrame, min_pages: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(all tokens with ``class_id, no`` of their valid class or null, members of the valid classes)."""
+    tokens = stage(tokens, "markup-tokens")
+    first = stage(_classes(tokens, min_pages, "markup-classes"), "markup-valid")
+    place = first.select("host", "token", "class_id", "no")
+    known = tokens.join(place, ["host", "token"], "left")
+    # what is in no valid class is told apart by the slot it stands in, then grouped again
+    before = Window.partitionBy("host", "page").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    slot = F.last(F.when(F.col("class_id").isNotNull(), F.xxhash64("class_id", "no")), ignorenulls=True).over(before)
+    known = stage(known.withColumn("slot", slot), "markup-slots")
+    narrow = known.where(F.col("class_id").isNull() & F.col("slot").isNotNull()).withColumn("token", F.concat("token", F.lit(" @"), F.col("slot").cast("string"))).drop("class_id", "no", "slot")
+    second = stage(_classes(narrow, min_pages, "markup-classes"), "markup-valid")
+    narrow = narrow.join(second.select("host", "token", "class_id", "no"), ["host", "token"], "left")
+    rest = known.where(F.col("class_id").isNotNull() | F.col("slot").isNull()).drop("slot")
+    return rest.unionByName(narrow), first.unionByName(second)
+
+
+def find_markup(pages: DataFrame, hosts: DataFrame, min_pages: int = 3) -> DataFrame:
+    """``page, markup, n_template, n_slots``: a row for each language on each page, with its tokens in the template and in the slots."""
+    tokens, _ = templated(page_tokens(pages, hosts), min_pages)
+    inside = F.col("class_id").isNotNull()
+    return tokens.groupBy("page", F.col("language").alias("markup")).agg(F.count_if(inside).alias("n_template"), F.count_if(~inside).alias("n_slots"))
+
+
+def _parents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The innermost occurrence around every occurrence of a class, page by page."""
+    for batch in batches:
+        out = []
+        for spans in batch["spans"]:
+            open_: list[tuple[int, int]] = []
+            for lo, hi, own in sorted(((s["lo"], s["hi"], s["class_id"]) for s in spans), key=lambda s: (s[0], -s[1])):
+                open_ = [o for o in open_ if o[0] > lo]
+                around = next((c for h, c in reversed(open_) if h > hi and c != own), None)
+                out.append((own, around))
+                open_.append((hi, own))
+        yield pd.DataFrame({"class_id": pd.array([x for x, _ in out], "Int64"), "parent_id": pd.array([y for _, y in out], "Int64")})
+
+
+def deduce_templates(pages: DataFrame, hosts: DataFrame, min_pages: int = 3) -> DataFrame:
+    """``host, class_id, n_pages, n_tokens, tokens, parent_id`` of all valid classes: each host's template.
+
+    A class is nested in another if on every page each of its occurrences lies within one of that other's, and none nearer.
+    """
+    tokens, members = templated(page_tokens(pages, hosts), min_pages)
+    w = Window.partitionBy("host", "page", "class_id").orderBy("at")
+    sizes = members.select("class_id", "n_tokens").distinct()
+    turns = tokens.where(F.col("class_id").isNotNull()).join(sizes, "class_id").withColumn("k", F.floor((F.row_number().over(w) - 1) / F.col("n_tokens")))
+    spans = turns.groupBy("host", "page", "class_id", "k").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    around = spans.groupBy("host", "page").agg(F.collect_list(F.struct("lo", "hi", "class_id")).alias("spans")).select("spans").mapInPandas(_parents, "class_id long, parent_id long")
+    nested = around.groupBy("class_id").agg(F.when((F.min("parent_id") == F.max("parent_id")) & (F.count("parent_id") == F.count(F.lit(1))), F.min("parent_id")).alias("parent_id"))
+    classes = members.groupBy("host", "class_id", "n_pages", "n_tokens").agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "token"))), lambda x: x["token"]).alias("tokens"))
+    return classes.join(nested, "class_id", "left").select("host", "class_id", "n_pages", "n_tokens", "tokens", "parent_id")
+
+
+def template_slots(pages: DataFrame, hosts: DataFrame, min_pages: int = 3) -> DataFrame:
+    """``page, slot_no, class_id, token_no, text``: what stands on a page behind each template token, up to the next; blank slots are left out."""
+    tokens, _ = templated(page_tokens(pages, hosts), min_pages)
+    marks = tokens.where(F.col("class_id").isNotNull()).groupBy("page").agg(F.sort_array(F.collect_set(F.struct("start", "end", "class_id", "no"))).alias("marks"))
+    once = pages.where(may_hold_markup(F.col("text"))).groupBy("page").agg(F.min("text").alias("text"))
+    until = lambda i: F.coalesce(F.try_element_at("marks", i + 2)["start"], F.length("text"))
+    slots = F.transform("marks", lambda m, i: F.struct(m["class_id"].alias("class_id"), m["no"].alias("token_no"), F.substring("text", m["end"] + 1, F.greatest(F.lit(0), until(i) - m["end"])).alias("text")))
+    each = once.join(marks, "page").select("page", F.posexplode(slots).alias("slot_no", "s"))
+    return each.select("page", "slot_no", "s.class_id", "s.token_no", strip(F.col("s.text")).alias("text")).where(F.col("text") != "")
 
 
 _FENCE = re.compile(r"^[ ]{0,3}```[^\n`]*\n(.*?)(?:^[ ]{0,3}```[ ]*$|\Z)", re.M | re.S)
@@ -199,7 +335,7 @@ def clean(docs: DataFrame) -> DataFrame:
     """``doc, text, blocks`` of every record: converted where it holds markup, else unchanged with a null list of blocks."""
     kind = dict(docs.dtypes)["doc"]
     schema = f"doc {kind}, text string, blocks array<struct<kind:string,level:int,text:string>>"
-    once = docs.select("doc", "text")
+    once = docs.groupBy("doc").agg(F.min("text").alias("text"))
     marked = F.coalesce(may_hold_markup(F.col("text")), F.lit(False))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,27 +348,3 @@ def clean(docs: DataFrame) -> DataFrame:
 
     plain = once.where(~marked).select("doc", "text", F.lit(None).cast("array<struct<kind:string,level:int,text:string>>").alias("blocks"))
     return once.where(marked).mapInPandas(run, schema).unionByName(plain)
-
-
-_TOKEN = rf"(?i)({TAG}|<!--)"
-
-
-def deduce_templates(pages: DataFrame, min_pages: int = 3) -> DataFrame:
-    """``host, class_id, n_pages, n_tokens, tokens, parent_id``: the valid equivalence classes of every host's pages and their nesting.
-
-    pages: ``host, page, text``. A token is a tag with the path of the tags open around it left out and its attributes dropped. Its
-    occurrence vector, the number of times it stands on each page, is kept as a sum of hashes of (page, count), so that no vector is ever
-    gathered; tokens with one vector form a class. A class is valid if it has two tokens or more and stands on ``min_pages`` pages; its
-    tokens are ordered by their mean place. A class is nested in the smallest one that spans it.
-    """
-    tokens = pages.where(F.col("host").isNotNull() & F.col("text").contains("<")).select("host", "page", F.posexplode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(1))).alias("at", "tag"))
-    tokens = tokens.select("host", "page", "at", F.lower(F.regexp_replace("tag", r"\s[^<>]*(?=>)", "")).alias("token"))
-    each = tokens.groupBy("host", "page", "token").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
-    vectors = each.groupBy("host", "token").agg(
-        F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("v"), F.count(F.lit(1)).alias("n_pages"), F.avg("first").alias("first"), F.avg("last").alias("last")
-    )
-    classes = vectors.where(F.col("n_pages") >= min_pages).groupBy("host", "v", "n_pages").agg(F.sort_array(F.collect_list(F.struct("first", "token"))).alias("ordered"), F.min("first").alias("first"), F.max("last").alias("last"))
-    classes = classes.where(F.size("ordered") >= 2).select("host", F.xxhash64("host", "v").alias("class_id"), "n_pages", F.transform("ordered", lambda x: x["token"]).alias("tokens"), "first", "last")
-    outer = classes.select("host", F.col("class_id").alias("outer_id"), F.col("first").alias("lo"), F.col("last").alias("hi"))
-    spans = classes.join(outer, (classes.host == outer.host) & (classes.class_id != outer.outer_id) & (outer.lo < classes["first"]) & (outer.hi > classes["last"])).groupBy("class_id").agg(F.min_by("outer_id", F.struct(F.col("hi") - F.col("lo"), "outer_id")).alias("parent_id"))
-    return classes.join(spans, "class_id", "left").select("host", "class_id", "n_pages", F.size("tokens").alias("n_tokens"), "tokens", "parent_id")

@@ -90,21 +90,35 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.remove_lines(once, repeated_lines.repeated_lines(docs, sources)).select(F.col("doc").alias("chunk_id"), F.col("text").alias("content"))
 
 
+def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every chunk as a page, and the host of every document: that of its url."""
+    host = F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1)
+    hosts = load(spark, d, "document_metadata", ["doc_id", "url"]).groupBy(F.col("doc_id").alias("owner")).agg(F.min(host).alias("host"))
+    return load(spark, d, "document_chunks", ["chunk_id", "doc_id", "content"]).select(F.col("chunk_id").alias("page"), F.col("doc_id").alias("owner"), F.col("content").alias("text")), hosts
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return markup.find_markup(_chunks(spark, d)).withColumnRenamed("doc", "chunk_id")
+    return markup.find_markup(*_pages(spark, d)).select(F.col("page").alias("chunk_id"), "markup")
+
+
+def p5_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """How many traces of each language of each chunk belong to the host's template, and how many were left in slots."""
+    return markup.find_markup(*_pages(spark, d)).withColumnRenamed("page", "chunk_id")
 
 
 def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    """Every row's clean text and, where it held markup, its blocks."""
+    """Every chunk's clean text and, where it held markup, its blocks."""
     return markup.clean(_chunks(spark, d)).select(F.col("doc").alias("chunk_id"), F.col("text").alias("content"), "blocks")
 
 
 def p5_templates(spark: SparkSession, d: str) -> DataFrame:
-    """Templates of the pages of one host, the host being that of the document's url."""
-    host = F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1)
-    hosts = load(spark, d, "document_metadata", ["doc_id", "url"]).where(F.col("url").isNotNull()).groupBy("doc_id").agg(F.min(host).alias("host"))
-    pages = load(spark, d, "document_chunks", ["chunk_id", "doc_id", "content"]).where(F.col("content").contains("<")).groupBy("chunk_id", "doc_id").agg(F.min("content").alias("text"))
-    return markup.deduce_templates(pages.join(hosts, "doc_id").select("host", F.col("chunk_id").alias("page"), "text"))
+    """The templates of all hosts."""
+    return markup.deduce_templates(*_pages(spark, d))
+
+
+def p5_slots(spark: SparkSession, d: str) -> DataFrame:
+    """The contents of the templates' slots on every chunk."""
+    return markup.template_slots(*_pages(spark, d)).withColumnRenamed("page", "chunk_id")
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +180,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_amounts(_texts(spark, d)).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p2_corpus_groups, p3_found, p3_units, p4_found, p4_cleaned, p5_found, p5_cleaned, p5_templates, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_matches, p8_kept, p9_found, p9_spans, p9_shared)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p2_corpus_groups, p3_found, p3_units, p4_found, p4_cleaned, p5_found, p5_tokens, p5_cleaned, p5_templates, p5_slots, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_matches, p8_kept, p9_found, p9_spans, p9_shared)}
 _LONG = """docs as (select doc_id, text, length(text) n from documents where length(text) >= 200),
 reps as (select min(doc_id) doc_id, min(n) n, text, count(*) n_copies from docs group by text),
 copies as (select d.doc_id, r.doc_id rep, r.n_copies, d.n from docs d join reps r on d.text = r.text where r.n_copies > 1),

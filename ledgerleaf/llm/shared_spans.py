@@ -406,7 +406,7 @@ def search(docs: DataFrame, min_chars: int = 200, batches: int = BATCHES, gram:
             found = own.probe(waiting[0], hot)
             for name in waiting[1:]:
                 found = found.unionByName(own.probe(name, hot))
-            found, waiting = stage(found, "span-pairs"), []
+            found, waiting = stage(found.distinct(), "span-pairs"), []
             pairs = found if pairs is None else pairs.unionByName(found)
             own.compact()
     if not hot.isEmpty():

@@ -274,13 +274,50 @@ def test_conversion_keeps_structure():
     assert markup.convert("plain text") == ("plain text", [("text", 0, "plain text")])
 
 
-def test_templates(spark):
-    rows = [("h", f"p{i}", f"<div><p>{i}</p></div>" + "<li>x</li>" * i) for i in range(4)] + [("h", "q", None), (None, "r", "<b>x</b>")]
-    got = {tuple(r.tokens): r for r in markup.deduce_templates(spark.createDataFrame(rows, "host string, page string, text string")).collect()}
-    assert ("<div>", "<p>", "</p>", "</div>") in got and ("<li>", "</li>") in got
+def site(spark, rows):
+    """Pages and hosts of (host, page, text)."""
+    pages = spark.createDataFrame([(p, f"o{h}", t) for h, p, t in rows], "page string, owner string, text string").withColumn("host", F.lit("clash")).withColumn("token", F.lit("clash"))
+    return pages, spark.createDataFrame(sorted({(f"o{h}", h) for h, _, _ in rows}, key=str), "owner string, host string")
+
+
+def test_templates_classes_and_nesting(spark):
+    rows = [("h", f"p{i}", f"<div><h2>T{i}</h2><ul>" + "".join(f"<li>x{k}</li>" for k in range(i + 1)) + "</ul></div>") for i in range(4)] + [("h", "q", None), (None, "r", "<b>x</b>"), ("k", "s", "<p>lone")]
+    got = {tuple(t.split()[0] for t in r.tokens): r for r in markup.deduce_templates(*site(spark, rows)).collect()}
+    outer, item = got[("<div>", "<h2>", "</h2>", "<ul>", "</ul>", "</div>")], got[("<li>", "</li>")]
+    assert set(got) == {("<div>", "<h2>", "</h2>", "<ul>", "</ul>", "</div>"), ("<li>", "</li>")}
+    assert outer.parent_id is None and item.parent_id == outer.class_id and (item.host, item.n_pages) == ("h", 4)
+
+
+def test_class_out_of_order_is_not_valid(spark):
+    rows = [("h", f"p{i}", "<b>x</b> <i>y</i>" if i else "<i>y</i> <b>x</b>") for i in range(5)]
+    assert markup.deduce_templates(*site(spark, rows)).count() == 0
+    # equal vectors, but in the slots of another class they can be told apart
+    rows = [("h", f"p{i}", f"<p>{i} <b>x</b></p>" + ("<p> <i>y</i></p>" if i % 2 else "<p> <i>z</i></p>")) for i in range(6)]
+    assert markup.deduce_templates(*site(spark, rows)).count() >= 1
+
+
+def test_slots_are_what_the_template_leaves(spark):
+    rows = [("h", f"p{i}", f"== H{i} ==\n<div>one {i}</div>\n''two {i}'' &amp;" + (" **lone**" if i == 2 else "")) for i in range(4)]
+    got = {}
+    for r in markup.template_slots(*site(spark, rows + rows[:2])).orderBy("page", "slot_no").collect():
+        got.setdefault(r.page, []).append(r.text)
+    assert got["p1"] == ["one 1"] and got["p2"] == ["one 2", "**lone**"]
+    found = {(r.page, r.markup): (r.n_template, r.n_slots) for r in markup.find_markup(*site(spark, rows + rows[:2])).collect()}
+    assert found["p2", "markdown"] == (0, 1) and found["p0", "html"] == (3, 0) and found["p0", "wiki"] == (2, 0)
+
+
+def test_found_languages_are_those_of_the_lexer(spark):
+    rnd = random.Random(3)
+    bits = ["<b>x</b>", "&nbsp;", "# H\n", "**a**", "== W ==\n", "[[l]]", "\\emph{x}", "$r_t = 3$", "plain", "5 < 6", "<p>", "\n"]
+    rows = [(rnd.choice(["h", "k", None]), f"p{i}", " ".join(rnd.choice(bits) for _ in range(rnd.randrange(6)))) for i in range(200)]
+    got = {(r.page, r.markup) for r in markup.find_markup(*site(spark, rows)).collect()}
+    assert got == {(p, k) for _, p, t in rows for k in markup.languages(t)}
+    empty = site(spark, rows)[0].limit(0), site(spark, rows)[1].limit(0)
+    assert markup.find_markup(*empty).count() == markup.deduce_templates(*empty).count() == markup.template_slots(*empty).count() == 0
 
 
 def test_clean_of_null_and_empty(spark):
+    assert markup.clean(docs(spark, ["<b>x</b>"]).union(docs(spark, ["<b>x</b>"]))).count() == 1
     got = {r.doc: (r.text, r.blocks) for r in markup.clean(docs(spark, [None, "", "x"])).collect()}
     assert got == {"a0": (None, None), "a1": ("", None), "a2": ("x", None)}
 
