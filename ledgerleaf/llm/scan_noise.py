@@ -4,17 +4,19 @@ Words are repaired against the corpus itself. One scan counts all words (counts
 the places that may be noise. A symmetric-delete index over the counted words joins each word to the much more frequent words that it
 equals after leaving out a character or a pair of neighbours on either side; a weighted edit distance with confusion pairs keeps
 the candidates that a misreading explains; where a word has several, the counts of the pairs it forms with its neighbours
-(bigrams) pick one. A second scan finds the occurrences: a bit array of fixed size tells most words apart in the task, an exact join
-follows. A cut word is rejoined if the joined word is known better than the compound or if a part is no word of its own.
+(bigrams) pick one. A second scan finds the occurrences: a bit array of 16 bits or more for each suspect tells most words apart in the task,
+an exact join follows; suspects that would need more than 64 MB of bits are sought in several passes. A cut word is rejoined if the joined word is known better than the compound or if a part is no word of its own.
 A header is a line that equals the document's title, give or take misread characters, around a date.
 
 Cases: null and empty texts hold no noise. A number below a line that ends in a colon is a count. Documents without a title have
-headers only where a date or capitals throughout set them off. Rows that repeat an id give their noise once, but their words count as
+headers only where a date or capitals throughout set them off. Words of any length count; repairs are words of Latin letters, accented
+ones too. Rows that repeat an id give their noise once, but their words count as
 they stand. Ties between repairs go to the smaller distance, then the stronger context, the greater count, the lesser word.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -22,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -48,7 +50,11 @@ _SMALL = {"of", "and", "the", "for", "on", "in", "to", "a", "an", "—", "–",
 RATIO = 20
 LEAST = 4
 FLUSH = 200_000
-BLOOM_BITS = 1 << 23
+#: Bits of the arrays that tell suspects: at least, for each word, at most (64 MB).
+LEAST_BITS, BITS_A_WORD, MOST_BITS = 1 << 16, 16, 1 << 29
+#: Words of more letters are indexed by their ends, as their deletes would be long and many.
+LONG = 64
+_END = 30
 
 
 def header_phrase(line: str) -> tuple[str, bool, bool] | None:
@@ -127,7 +133,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
 
     def flush() -> pd.DataFrame:
-        keep = [(w, n) for w, n in counts.items() if 1 < len(w) <= 40 and not w.isdigit()]
+        keep = [(w, n) for w, n in counts.items() if len(w) > 1 and not w.isdigit()]
         counts.clear()
         return pd.DataFrame([("w", None, None, w, None, n) for w, n in keep], columns=["kind", "doc", "owner", "a", "b", "n"], dtype=object)
 
@@ -180,9 +186,33 @@ def confusion_cost(right: str, read: str) -> float:
     return float(best[m, n])
 
 
+def one_confusion_cost(right: str, read: str) -> float:
+    """``confusion_cost`` where it is that of one confusion; words that differ over more than a few characters cost infinity unread."""
+    if max(len(right), len(read)) > LONG:
+        most = min(len(right), len(read))
+        lo = len(os.path.commonprefix([right, read]))
+        hi = min(most - lo, len(os.path.commonprefix([right[::-1], read[::-1]])))
+        lo, hi = max(0, lo - 2), max(0, hi - 2)  # what stands beside the difference may belong to a pair
+        right, read = right[lo : len(right) - hi], read[lo : len(read) - hi]
+        if max(len(right), len(read)) > 12:
+            return float("inf")
+    return confusion_cost(right, read)
+
+
 @F.pandas_udf(DoubleType())
 def _cost(right: pd.Series, read: pd.Series) -> pd.Series:
-    return pd.Series([confusion_cost(a, b) for a, b in zip(right, read)], dtype="float64")
+    return pd.Series([one_confusion_cost(a, b) for a, b in zip(right, read)], dtype="float64")
+
+
+def keys(word: Column) -> Column:
+    """What two words have in common that one confusion makes of each other: their deletes, or one end of long words.
+
+    A confusion changes two neighbouring characters at most, so of the 30 first and the 30 last of a word of 64 either stay. Words of 64
+    and 65 letters have keys of both kinds, since a confusion may lead from one to the other.
+    """
+    n = F.length(word)
+    ends = F.array(F.concat(F.lit("<"), F.substring(word, 1, _END)), F.concat(F.lit(">"), F.substring(word, -_END, _END)))
+    return F.when(n < LONG, deletes(word)).when(n > LONG + 1, ends).otherwise(F.concat(deletes(word), ends))
 
 
 def deletes(word: Column) -> Column:
@@ -202,22 +232,28 @@ def candidates(words: DataFrame) -> DataFrame:
     """``word, repair, cost, n_repair`` of the words that a misreading of a word at least 20 times as frequent explains."""
     fit = words.where((F.length("word") >= LEAST - 1) & ~F.col("word").contains("-") & ~F.col("word").contains("_"))
     # a misread word is in letters of a script whose confusions are listed, with at most a third of other signs
-    letters = F.length(F.regexp_replace("word", "[^a-z]", ""))
+    letters = F.length(F.regexp_replace("word", r"\P{IsLatin}", ""))
     read = fit.where((letters * 3 >= F.length("word") * 2) & (F.length("word") >= LEAST)).select(F.col("word").alias("w"), F.col("n").alias("m"))
-    right = fit.where((F.col("n") >= RATIO) & F.col("word").rlike("^[a-z]+$")).select("word", "n")
-    x = read.select("w", "m", F.explode(deletes(F.col("w"))).alias("key"))
-    y = right.select("word", "n", F.explode(deletes(F.col("word"))).alias("key"))
-    pairs = x.join(y, "key").where((F.col("n") >= F.col("m") * RATIO) & (F.col("w") != F.col("word")) & (F.abs(F.length("w") - F.length("word")) <= 1)).select("w", "word", "n").distinct()
+    right = fit.where((F.col("n") >= RATIO) & F.col("word").rlike("^[\\p{IsLatin}&&[^ſﬀ-ﬆ]]+$")).select("word", "n")
+    # the length is part of the key, given by the fewer right words for all lengths that a confusion may lead to
+    x = read.select("w", "m", F.length("w").alias("size"), F.explode(keys(F.col("w"))).alias("key"))
+    size = F.explode(F.array(*(F.length("word") + d for d in (-1, 0, 1))))
+    y = right.select("word", "n", F.explode(keys(F.col("word"))).alias("key")).select("word", "n", "key", size.alias("size"))
+    pairs = x.join(y, ["key", "size"]).where((F.col("n") >= F.col("m") * RATIO) & (F.col("w") != F.col("word"))).select("w", "word", "n").distinct()
     costs = pairs.select(F.col("w").alias("word"), F.col("word").alias("repair"), _cost("word", "w").alias("cost"), F.col("n").alias("n_repair"))
     return stage(costs.where(F.col("cost") <= 0.5), "repairs")
 
 
-def bloom(spark: SparkSession, words: DataFrame) -> np.ndarray:
-    """Bits of fixed number (1 MB) set for the given words; gathered in pieces of 4 KB that are united before they travel."""
-    h = F.pmod(F.xxhash64("word"), F.lit(BLOOM_BITS))
-    each = words.select((h + 1).alias("h"))
-    rows = each.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
+def n_bits(n_words: int) -> int:
+    """Bits of an array for so many words: a power of two, 16 for each word or more."""
+    return max(LEAST_BITS, 1 << (BITS_A_WORD * n_words).bit_length())
+
+
+def bloom(words: DataFrame, size: int) -> np.ndarray:
+    """``size`` bits, set for the given words; gathered in pieces of 4 KB that are united before they travel."""
+    each = words.select((F.pmod(F.xxhash64("word"), F.lit(size)) + 1).alias("h"))
+    rows = each.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).toLocalIterator()
+    out = np.zeros(size // 8, np.uint8)
     for r in rows:
         out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
@@ -233,7 +269,7 @@ class _Known(dict):
     def __missing__(self, word: str) -> bool:
         if len(self) > FLUSH:
             self.clear()
-        h = xxhash.xxh64_intdigest(word.encode(), 42) % BLOOM_BITS  # Spark's xxhash64; the number of bits divides 2**64, so its sign is of no account
+        h = xxhash.xxh64_intdigest(word.encode(), 42) % (8 * len(self.bits))  # Spark's xxhash64; the number of bits divides 2**64, so its sign is of no account
         found = self[word] = bool(self.bits[h >> 3] >> (h & 7) & 1)
         return found
 
@@ -241,10 +277,26 @@ class _Known(dict):
 def occurrences(docs: DataFrame, suspects: DataFrame, unsure: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``doc, word, before, after`` of words that may be suspects, ``a, b, n`` of pairs in which a word may be unsure's).
 
-    suspects and unsure: ``word``; both are told by bit arrays of fixed size, so exact joins must follow.
+    suspects and unsure: ``word``; both are told by bit arrays, so exact joins must follow. What needs more bits than an array may have is
+    dealt to several by hash, with a pass over the texts for each.
     """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast((bloom(spark, suspects), bloom(spark, unsure)))
+    sizes = [n_bits(w.count()) for w in (suspects, unsure)]
+    passes = max(1, *(-(-n // MOST_BITS) for n in sizes))
+    part = F.pmod(F.hash("word"), F.lit(passes))
+    found = pairs = None
+    for k in range(passes):
+        arrays = tuple(bloom(w.where(part == k), min(n, MOST_BITS)) for w, n in zip((suspects, unsure), sizes))
+        out = _pass(docs, spark.sparkContext.broadcast(arrays))
+        one = out.where("doc is not null").select("doc", "word", F.col("a").alias("before"), F.col("b").alias("after"))
+        two = out.where("doc is null").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        found, pairs = (one, two) if found is None else (found.unionByName(one), pairs.unionByName(two))
+    # a pair may be met in two passes, once for each of its words; each time it was counted whole
+    return found.distinct(), pairs.groupBy("a", "b").agg(F.max("n").alias("n"))
+
+
+def _pass(docs: DataFrame, bits) -> DataFrame:
+    """``doc, word, a, b, n``: words whose bit is set with their neighbours, and with a null doc the counts of pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, open_ = (_Known(b) for b in bits.value)
@@ -272,8 +324,7 @@ def occurrences(docs: DataFrame, suspects: DataFrame, unsure: DataFrame) -> tupl
                 yield flush()
         yield flush()
 
-    out = stage(docs.select("doc", "text").where(F.length("text") > 0).mapInPandas(run, "doc string, word string, a string, b string, n long"), "occurrences")
-    return out.where("doc is not null").select("doc", "word", F.col("a").alias("before"), F.col("b").alias("after")), out.where("doc is null").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return stage(docs.select("doc", "text").where(F.length("text") > 0).mapInPandas(run, "doc string, word string, a string, b string, n long"), "occurrences")
 
 
 def repairs(docs: DataFrame, words: DataFrame) -> DataFrame:
@@ -282,7 +333,7 @@ def repairs(docs: DataFrame, words: DataFrame) -> DataFrame:
     several = options.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
     unsure = options.join(several, "word", "left_semi").select(F.col("repair").alias("word")).distinct()
     found, pairs = occurrences(docs, options.select("word").distinct(), unsure)
-    found = found.distinct().join(options, "word")
+    found = found.join(options, "word")
     left, right = pairs.select(F.col("a").alias("before"), F.col("b").alias("repair"), F.col("n").alias("n_before")), pairs.select(F.col("a").alias("repair"), F.col("b").alias("after"), F.col("n").alias("n_after"))
     scored = found.join(left, ["before", "repair"], "left").join(right, ["repair", "after"], "left")
     context = F.log1p(F.coalesce("n_before", F.lit(0))) + F.log1p(F.coalesce("n_after", F.lit(0)))
@@ -355,7 +406,7 @@ def repair_text(text: str, words: dict[str, str], joins: set[tuple[str, str]], p
             at = max(at, hi)
             # within a sentence the gap closes, else the paragraph break stays
             if re.search(r"[^\s.!?:]\s*\Z", before) and (m := re.match(r"\s*", text[at:])):
-                rest[-1] = before.rstrip() + "\n" if not before.rstrip().endswith(("-", "\xad", "‐")) else before.rstrip() + "\n"
+                rest[-1] = before.rstrip() + "\n"  # a cut word at its end is rejoined below like any other
                 at += m.end()
         text = "".join([*rest, text[at:]])
     text = _at_cuts(text, lambda left, right: "" if (_plain(left), _plain(right)) in joins else "-")

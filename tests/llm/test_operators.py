@@ -74,9 +74,44 @@ def test_confusion_costs():
 
 def test_bits_agree_with_spark(spark):
     words = [f"w{i}" for i in range(300)] + ["é", "†icked"]
-    bits = scan_noise.bloom(spark, spark.createDataFrame([(w,) for w in words], "word string"))
+    bits = scan_noise.bloom(spark.createDataFrame([(w,) for w in words], "word string"), scan_noise.n_bits(len(words)))
     known = scan_noise._Known(bits)
-    assert all(known[w] for w in words) and sum(known[f"x{i}"] for i in range(2000)) < 20
+    assert all(known[w] for w in words) and sum(known[f"x{i}"] for i in range(2000)) < 200
+    assert scan_noise.n_bits(10**7) >= 16 * 10**7
+
+
+@pytest.mark.parametrize("most", [1 << 29, 1 << 16])
+def test_full_arrays_take_several_passes(spark, monkeypatch, most):
+    """With at most 65,536 bits and 60,000 bits a word there is nearly a pass for each suspect."""
+    monkeypatch.setattr(scan_noise, "MOST_BITS", most)
+    monkeypatch.setattr(scan_noise, "BITS_A_WORD", 16 if most > 1 << 16 else 30_000)
+    texts = [PLAIN, "The inflatiori moved", "and hou5ing too", "The surve9s rnoved", "nothing here"]
+    assert found(spark, texts) == {"a1": {"char_error"}, "a2": {"char_error"}, "a3": {"char_error"}}
+    got = {r.doc: r.text for r in scan_noise.repair(*noise(spark, texts)).collect()}
+    assert got["a1"] == "The inflation moved" and got["a4"] == "nothing here"
+
+
+def test_accents_and_long_words(spark):
+    long = "Rinderkennzeichnungsfleischetikettierungsüberwachungsaufgabenübertragungsgesetzentwurf"
+    plain = f"Le chômage et la commune évoluent, {long} auch. " * 40
+    texts = [plain, "Le chôrnage baisse", "la comrnune évolue", long.replace("fleisch", "f1eisch"), long.replace("kenn", "kerin") + " x", "a" * 100_000, "élevé eleve"]
+    assert found(spark, texts) == {"a1": {"char_error"}, "a2": {"char_error"}, "a3": {"char_error"}, "a4": {"char_error"}}
+    for n in (63, 64, 65, 66):
+        word = ("abcdefghijklmnopqrstuvwxyz" * 3)[:n]
+        for k in (0, 20, n // 2, n - 2):
+            misread = word[:k] + "rn" + word[k + 1 :]
+            right = word[:k] + "m" + word[k + 1 :]
+            assert scan_noise.one_confusion_cost(right, misread) == pytest.approx(0.4)
+
+
+def test_keys_meet_at_every_length(spark):
+    rows = []
+    for n in (5, 62, 63, 64, 65, 66, 90):
+        for k in (0, n // 3, n // 2, n - 1):
+            w = "".join(chr(97 + (i * 7) % 20) for i in range(n))
+            rows.append((w[:k] + "m" + w[k + 1 :], w[:k] + "rn" + w[k + 1 :]))
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.where(~F.arrays_overlap(scan_noise.keys(F.col("a")), scan_noise.keys(F.col("b")))).count() == 0
 
 
 # ---- p2
