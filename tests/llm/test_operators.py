@@ -454,8 +454,24 @@ def test_leaks_against_brute_force(spark, monkeypatch):
 
 def test_no_items_and_blocks(spark, monkeypatch):
     assert leaks(spark, ["a b c d"], [("q", None), ("r", "")], 2) == {}
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 2)
-    assert leaks(spark, ["a b c d"], [(f"q{i}", "a b c") for i in range(5)], 3) == {(0, f"q{i}"): 3 for i in range(5)}
+    assert leaks(spark, [], [("q", "a b c")], 2) == {} == leaks(spark, [None, ""], [("q", "a b c")], 2)
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 2)
+    assert leaks(spark, ["a b c d", "a b c d"], [(f"q{i}", "a b c") for i in range(5)], 3) == {(d, f"q{i}"): 3 for i in range(5) for d in (0, 1)}
+
+
+def test_suffix_array_is_sorted():
+    rnd = random.Random(7)
+    for n, k in ((0, 1), (1, 1), (40, 1), (300, 2), (300, 50)):
+        seq = np.array([rnd.randrange(k) for _ in range(n)], np.uint64)
+        assert leakage.suffix_array(seq).tolist() == sorted(range(n), key=lambda i: seq[i:].tolist())
+
+
+def test_places_of_leaks_and_a_second_test_set(spark):
+    df = spark.createDataFrame([(1, "x y one two three four z one two three"), (2, "three four five")], "doc long, text string").withColumn("docs", F.lit("clash"))
+    index = leakage.stage(leakage.build_index(df), "index")
+    it = lambda t: spark.createDataFrame([("q", "f", t)], "item string, field string, text string")
+    assert [tuple(r) for r in leakage.search_index(index, it("so ONE, two; three four!"), 3).collect()] == [(1, "q", "f", 4, 2, 1)]
+    assert [tuple(r) for r in leakage.search_index(index, it("four five"), 2).collect()] == [(2, "q", "f", 2, 1, 0)]
 
 
 # ---- p9
