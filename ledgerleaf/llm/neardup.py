@@ -8,7 +8,8 @@ and the members keep only the rest. A search adds up differences on the way down
 exceed the radius. What remains is compared exactly.
 
 Records whose word sequences are equal form a class and are indexed once. A node with more than ``HOT`` records is not held in one
-task: its records are dealt to salted blocks and each pair of blocks is a group of its own.
+task: its records are dealt to salted blocks and each pair of blocks is a group of its own, which gives the pairs across the two only.
+So are the copies of one text where their pairs are asked for.
 
 Cases: null texts and texts under ``min_words`` words are in no pair, nor are texts without a word; those
 of fewer words than a sequence has are alike only if their words are equal. Ties do not arise: links are sets. Rows that repeat an id
@@ -27,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerleaf.llm.blocks import dealt_pairs
 from ledgerleaf.sources.stages import stage
 
 WORD = re.compile(r"[^\W_]+")
@@ -262,16 +264,29 @@ def _node_pairs(most: int, hot: int):
 
 
 def _block_pairs(most: int):
-    """Pairs between two blocks of a hot node; rows carry the side they belong to."""
+    """Pairs within a block of a hot node, or across two; rows carry the block they belong to."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rid, prints = rows["rid"].to_numpy(), rows[["f1", "f2"]].to_numpy().view(np.uint64)
+        rid, side, prints = rows["rid"].to_numpy(), rows["block"].to_numpy(), rows[["f1", "f2"]].to_numpy().view(np.uint64)
         p = GrayIndex(prints).pairs_within(most)
-        return pd.DataFrame(np.sort(rid[p], axis=1), columns=["a", "b"])
+        if key[1] != key[2]:
+            p = p[side[p[:, 0]] != side[p[:, 1]]]
+        out = pd.DataFrame(np.sort(rid[p], axis=1), columns=["a", "b"])
+        return out.assign(key=key[0])[["key", "a", "b"]]
 
     return run
 
 
+def hot_pairs(rows: DataFrame, most: int, hot: int) -> DataFrame:
+    """``key, a, b``, each once: pairs within the radius below nodes of many records, block by block. rows: ``rid, key, f1, f2``."""
+    size = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, hot // 4))).cast("int").alias("blocks"))
+    dealt = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    # every pair of blocks is a group: a row goes to the pairs that hold its block
+    dealt = dealt.select("key", "rid", "f1", "f2", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rid", "f1", "f2", "block")
+    return dealt.groupBy("key", "i", "j").applyInPandas(_block_pairs(most), "key long, a long, b long")
+
+
 def candidates(reps: DataFrame, most: int, hot: int = HOT) -> DataFrame:
     """``a, b`` of records whose fingerprints meet below an upper node within the radius. reps: ``rid, keys, f1, f2``."""
     rows = reps.select("rid", F.explode("keys").alias("key"), "f1", "f2")
@@ -279,14 +294,7 @@ def candidates(reps: DataFrame, most: int, hot: int = HOT) -> DataFrame:
     pairs = found.where(~F.col("hot")).select("a", "b")
     keys = found.where("hot").select(F.col("a").alias("key"))
     if not keys.isEmpty():
-        much = stage(rows.join(keys, "key"), "hot-nodes")
-        size = much.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(hot // 4)).cast("int").alias("blocks"))
-        dealt = much.join(size, "key").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-        # every pair of blocks is a group: a row goes to the pairs that hold its block
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        dealt = dealt.select("key", "rid", "f1", "f2", "block", other.alias("other"))
-        dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rid", "f1", "f2")
-        pairs = pairs.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(_block_pairs(most), "a long, b long"))
+        pairs = pairs.unionByName(hot_pairs(stage(rows.join(keys, "key"), "hot-nodes"), most, hot).select("a", "b"))
     return pairs.distinct()
 
 
@@ -342,7 +350,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, k: int = 5, min_words: i
     members = stage(members.join(linked.unionByName(alone).distinct(), "rep", "left_semi"), "near-members")
     x, y = members.select(F.col("rep").alias("a"), F.col("doc").alias("x")), members.select(F.col("rep").alias("b"), F.col("doc").alias("y"))
     across = links.join(x, "a").join(y, "b").select("x", "y")
-    copies = x.join(y, F.col("a") == F.col("b")).where(F.col("x") < F.col("y")).select("x", "y")
+    copies = dealt_pairs(members, ["rep"], ["doc"]).select(F.col("x.doc").alias("x"), F.col("y.doc").alias("y")).where(F.col("x") < F.col("y"))
     both = across.unionByName(copies).where(F.col("x") != F.col("y"))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 

@@ -3,8 +3,9 @@
 Sizes are tokens of a public tokenizer. A text over the capacity is cut into full pieces and a rest; nothing else is cut. Items are
 spread over shards of bounded size by a hash; in a shard a best-fit start is improved by exchanges between underfull bins:
 the emptiest bin gives items away by a move, a one-for-one or a two-for-one exchange with another underfull bin. An exchange
-happens only if it increases the sum of squared fills, and the one that leaves the receiver least room is taken. A bin that has
-given everything away is gone; a bin that finds no exchange is left as it is.
+happens only if it increases the sum of squared fills, and the one that leaves the receiver least room is taken. All items and all
+pairs of the giving bin are tried against all offers, which a tree holds by what they take in and what they give back. A bin that
+has given everything away is gone; a bin that finds no exchange is left as it is.
 
 Cases: null text is no item; an empty text has size 0 and lies in some container. Rows that repeat an id are one item (its largest size).
 Equal sizes are told apart by id, so results do not depend on row order. Extra columns are ignored.
@@ -13,11 +14,14 @@ Equal sizes are told apart by id, so results do not depend on row order. Extra c
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import heapq
+import os
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +47,11 @@ def tokenizer(path: str):
 def token_sizes(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """``doc, n_tokens`` of every text that is not null."""
     kind = dict(docs.dtypes)["doc"]
+    docs.sparkSession.sparkContext.addFile(path)  # executors need not have it
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path).encode_ordinary
+        encode = tokenizer(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             yield pd.DataFrame({"doc": batch["doc"], "n_tokens": np.array([len(encode(t)) for t in batch["text"]], np.int64)})
 
@@ -97,47 +103,76 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Offers:
+    """Offers by key (what a bin has room for if it gives its item y) with, in a tree, the least y of every range of keys."""
+
+    def __init__(self, capacity: int):
+        self.width = 1 << (2 * capacity + 1).bit_length()
+        self.none = 2 * capacity + 2
+        self.least = [self.none] * (2 * self.width)
+        self.at: dict[int, list] = {}
+
+    def _set(self, key: int) -> None:
+        held = self.at.get(key)
+        k = key + self.width
+        self.least[k] = held[0][0] if held else self.none
+        k >>= 1
+        while k and self.least[k] != (new := min(self.least[2 * k], self.least[2 * k + 1])):
+            self.least[k] = new
+            k >>= 1
+
+    def add(self, key: int, y: int, entry) -> None:
+        heapq.heappush(self.at.setdefault(key, []), (y, entry))
+        self._set(key)
+
+    def first(self, low: int, high: int, below: int, good: Callable) -> tuple | None:
+        """(key, y, entry) of the least key in [low, high) with a y of less than ``below``; entries that aren't good are dropped on the way."""
+        while True:
+            key = self._leftmost(low, below)
+            if key < 0 or key >= high:
+                return None
+            held = self.at[key]
+            if good(held[0][1]):
+                return key, *held[0]
+            heapq.heappop(held)
+            self._set(key)
+
+    def _leftmost(self, low: int, below: int) -> int:
+        if low >= self.width:
+            return -1
+        k = low + self.width
+        while self.least[k] >= below:
+            while k & 1:  # the right neighbour of the smallest subtree that k ends
+                k >>= 1
+                if k <= 1:
+                    return -1
+            k += 1
+        while k < self.width:
+            k *= 2
+            if self.least[k] >= below:
+                k += 1
+        return k - self.width
+
+
 def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Exchanges between underfull bins while they increase the sum of squared fills."""
     fill = [sum(sizes[i] for i in b) for b in bins]
     version = [0] * len(bins)
     # What a bin can take in for what it gives: its room for nothing, its room and y for its item y
-    offers = _ByRoom()
+    offers = _Offers(capacity)
 
     def offer(b: int) -> None:
         room = capacity - fill[b]
         if room > 0 and bins[b]:
-            offers.add(room, (b, version[b], -1))
+            offers.add(room, 0, (b, version[b], -1))
             for i in {sizes[i]: i for i in bins[b]}.values():
                 if sizes[i]:
-                    offers.add(room + sizes[i], (b, version[b], i))
+                    offers.add(room + sizes[i], sizes[i], (b, version[b], i))
 
     def taker(amount: int, giver: int):
         """The offer that ``amount`` leaves least room in and that makes its bin fuller than the giver was."""
-        key, skipped = offers.least(amount), []
-        found = None
-        while key >= 0 and found is None:
-            while key in offers.at:
-                entry = offers.pop(key)
-                b, seen, y = entry
-                if seen != version[b]:
-                    continue
-                if b == giver:
-                    skipped.append((key, entry))
-                    continue
-                gain = amount - (sizes[y] if y >= 0 else 0)
-                if gain > 0 and fill[b] + gain > fill[giver]:
-                    found = entry
-                    break
-                skipped.append((key, entry))
-                if len(skipped) > 64:
-                    break
-            if len(skipped) > 64:
-                break
-            key = offers.least(key + 1)
-        for k, entry in skipped:
-            offers.add(k, entry)
-        return found
+        found = offers.first(amount, capacity + amount - fill[giver], amount, lambda entry: entry[1] == version[entry[0]])
+        return found and found[2]
 
     order = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
     for b in order:
@@ -147,42 +182,54 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list
     for a in order:
         if alive <= least_bins:
             break
+        version[a] += 1  # its own offers are no longer good
         while bins[a] and fill[a] < capacity:
-            mine = sorted(bins[a], key=lambda i: -sizes[i])
-            tries = [(i,) for i in mine] + [(i, j) for k, i in enumerate(mine[:12]) for j in mine[k + 1 : 12]]
-            for give in tries:
-                amount = sum(sizes[i] for i in give)
-                if amount and (taken := taker(amount, a)):
-                    b, _, y = taken
-                    for i in give:
-                        bins[a].remove(i)
-                        bins[b].append(i)
-                    back = 0
-                    if y >= 0:
-                        bins[b].remove(y)
-                        bins[a].append(y)
-                        back = sizes[y]
-                    fill[a] -= amount - back
-                    fill[b] += amount - back
-                    version[a] += 1
-                    version[b] += 1
-                    offer(b)
-                    break
-            else:
+            held: dict[int, list[int]] = {}
+            for i in bins[a]:
+                if sizes[i]:
+                    held.setdefault(sizes[i], []).append(i)
+            distinct = sorted(held, reverse=True)
+            done = _exchange({s: (held[s][0],) for s in distinct}, a, taker)
+            if done is None:
+                twos: dict[int, tuple] = {2 * s: (held[s][0], held[s][1]) for s in distinct if len(held[s]) > 1}
+                for k, s in enumerate(distinct):
+                    for t in distinct[k + 1 :]:
+                        twos.setdefault(s + t, (held[s][0], held[t][0]))
+                done = _exchange(dict(sorted(twos.items(), reverse=True)), a, taker)
+            if done is None:
                 break
+            give, (b, _, y) = done
+            for i in give:
+                bins[a].remove(i)
+                bins[b].append(i)
+            amount, back = sum(sizes[i] for i in give), 0
+            if y >= 0:
+                bins[b].remove(y)
+                bins[a].append(y)
+                back = sizes[y]
+            fill[a] -= amount - back
+            fill[b] += amount - back
+            version[b] += 1
+            offer(b)
             if all(sizes[i] == 0 for i in bins[a]):  # only empty texts are left; they fit anywhere
                 if others := [b for b in order if b != a and bins[b]]:
                     bins[others[-1]] += bins[a]
                     bins[a] = []
         if bins[a]:
-            version[a] += 1
             offer(a)
         else:
-            version[a] += 1
             alive -= 1
     return [b for b in bins if b]
 
 
+def _exchange(tries: dict[int, tuple], giver: int, taker: Callable) -> tuple | None:
+    """(items to give, offer) of the first amount that an offer takes."""
+    for amount, give in tries.items():
+        if offer := taker(amount, giver):
+            return give, offer
+    return None
+
+
 def pack_sizes(sizes: list[int], capacity: int) -> list[list[int]]:
     """Bins of item numbers for items of at most ``capacity``, largest first."""
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
@@ -235,7 +282,9 @@ def pack(docs: DataFrame, limits: DataFrame, path: str = TOKENIZER, shard_items:
             }
         )
 
-    return items.groupBy("limit_id", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard")).applyInPandas(run, schema)
+    # a number of partitions that adaptive execution leaves alone, since small groups of rows are much work
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int")).repartition(max(1, 4 * len(rows) * shards), "limit_id", "shard")
+    return dealt.groupBy("limit_id", "shard").applyInPandas(run, schema)
 
 
 def fill_summary(packed: DataFrame, limits: DataFrame) -> DataFrame:

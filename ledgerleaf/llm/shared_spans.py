@@ -32,13 +32,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerleaf.llm.blocks import dealt_pairs
 from ledgerleaf.sources.stages import drop, new_path, read_text, stage, write_text
 
 GRAM = 48
 FAN_OUT = 4
 BATCHES = FAN_OUT + 1  # the last one is held against a compacted run
 HOT = 64
-BLOCK = 1000
 _CHARS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 
@@ -130,19 +130,6 @@ def fingerprint_rows(docs: DataFrame, min_chars: int = 200, gram: int = GRAM) ->
     return docs.select("doc", "text").where(F.length("text") >= min_chars).mapInPandas(run, f"h long, doc {kind}")
 
 
-def dealt_pairs(rows: DataFrame, keys: list[str], carry: list[str], block: int | None = None) -> DataFrame:
-    """``*keys, x, y`` (structs of ``carry``): rows joined with themselves on ``keys``, each with itself and in both orders.
-
-    A key of more than ``block`` rows is dealt to blocks, and each pair of blocks is a key of its own, so no task gets all pairs of a key.
-    """
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block or BLOCK)).cast("int").alias("_n")).where("_n > 1")
-    dealt = rows.join(sizes, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64(*carry), F.col("_n")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    x = dealt.select(*keys, F.col("_own").alias("_i"), other.alias("_j"), F.struct(*carry).alias("x"))
-    y = dealt.select(*keys, other.alias("_i"), F.col("_own").alias("_j"), F.struct(*carry).alias("y"))
-    return x.join(y, [*keys, "_i", "_j"]).select(*keys, "x", "y")
-
-
 class FingerprintLog:
     """A log of sorted immutable runs of fingerprints in a folder.
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import leakage, markup, neardup, packing, repeated_lines, scan_noise, sentences, shared_spans, splitting
+from ledgerleaf.llm import blocks, leakage, markup, neardup, packing, repeated_lines, scan_noise, sentences, shared_spans, splitting
 
 DOCS = "doc string, text string"
 
@@ -154,11 +154,20 @@ def test_hot_node_is_dealt_to_blocks(spark, monkeypatch):
     plain = {tuple(r) for r in neardup.near_pairs(docs(spark, texts), 0.6, 3).collect()}
     rows = neardup.signatures(docs(spark, texts), 3, 20).withColumn("rid", F.monotonically_increasing_id())
     most = neardup.radius(0.6)
+    dealt = neardup.hot_pairs(rows.select("rid", F.explode("keys").alias("key"), "f1", "f2"), most, 8)
+    assert dealt.groupBy("key", "a", "b").count().where("count > 1").count() == 0
     few = {tuple(r) for r in neardup.candidates(rows, most, hot=8).collect()}
     many = {tuple(r) for r in neardup.candidates(rows, most).collect()}
     assert few == many and len(many) >= len(plain)
 
 
+def test_copies_of_one_text_are_dealt_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 3)
+    text = " ".join(f"w{i}" for i in range(40))
+    got = [tuple(r) for r in neardup.near_pairs(docs(spark, [text] * 20)).collect()]
+    assert len(got) == len(set(got)) == 190
+
+
 def test_gray_index_equals_all_pairs():
     rng = np.random.default_rng(2)
     for n in (1, 2, 17, 700):
@@ -407,6 +416,29 @@ def test_exchanges_empty_a_bin_that_best_fit_keeps():
     assert len(packing.improve([list(b) for b in start], sizes, 10)) == 2
 
 
+def test_exchanges_behind_many_offers_that_do_not_fit():
+    """Offers whose own item is too large stand before the one that fits, and the pair that fits is of the smallest items."""
+    full = [[k] for k in range(200)]
+    sizes = [95] * 200 + [3, 2] + [97]
+    assert len(packing.improve([*full, [200, 201], [202]], sizes, 100)) == 201
+    many = [40] * 14 + [1, 2]
+    bins = packing.improve([[0, 1], [2, 3], [4, 5], [6, 7], [8, 9], [10, 11], [12, 13, 14, 15]], many, 83)
+    assert sorted(i for b in bins for i in b) == list(range(16)) and all(sum(many[i] for i in b) <= 83 for b in bins)
+
+
+def test_offers_find_the_first_key_with_a_small_item():
+    rnd = random.Random(3)
+    held, offers = [], packing._Offers(64)
+    for n in range(400):
+        key, y = rnd.randrange(1, 128), rnd.randrange(64)
+        held.append((key, y, n))
+        offers.add(key, y, n)
+        low, below, high = rnd.randrange(128), rnd.randrange(64), rnd.randrange(140)
+        want = min(((k, v) for k, v, _ in held if low <= k < high and v < below), default=None)
+        got = offers.first(low, high, below, lambda n: True)
+        assert (got and got[:2]) == want
+
+
 def test_pack_cases(spark):
     limits = spark.createDataFrame([("p8", "pack", 8, None), ("s", "split", 5, 1)], "limit_id string, purpose string, max_tokens int, overlap_tokens int")
     d = spark.createDataFrame([(1, "one two three " * 10), (2, "hi"), (2, "hi"), (3, ""), (4, None)], "doc long, text string")
@@ -539,7 +571,7 @@ def brute(texts, n):
 def test_shared_spans_against_brute_force(spark, monkeypatch, hot):
     """With hot at 1 nearly every shared fingerprint takes the way of the hot ones, and blocks of two rows deal all groups."""
     monkeypatch.setattr(shared_spans, "HOT", hot)
-    monkeypatch.setattr(shared_spans, "BLOCK", 1000 if hot > 1 else 2)
+    monkeypatch.setattr(blocks, "BLOCK", 1000 if hot > 1 else 2)
     texts = planted(3) + [planted(3)[0]] * 3
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc long, text string").withColumn("h", F.lit("clash"))
     got = [(r.a, r.b) for r in shared_spans.shared_pairs(df.unionByName(df.limit(5)), 200).collect()]
