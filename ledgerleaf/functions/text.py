@@ -5,6 +5,8 @@ All are JVM expressions. ``\\s`` and ``\\w`` follow Unicode through ``(?U)``. Nu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,11 @@ def _pieces(segment: Column) -> Column:
     return F.filter(F.transform(F.split(segment, "(?U)" + SENTENCE_GAP), strip), lambda p: p != "")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it; within a lambda an expression is worked out at each mention."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def sentences(text: Column) -> Column:
     """Sentences of noisy text: paragraphs at blank lines, cuts behind ``.?!`` before a capital or quote, and pieces that end in an abbreviation merged on.
 
@@ -65,18 +72,20 @@ def sentences(text: Column) -> Column:
     """
     paragraphs = F.filter(F.transform(F.split(text, "\n\n"), lambda p: strip(F.replace(p, F.lit("\n"), F.lit(" ")))), lambda p: p != "")
 
-    def merge(pieces: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    def merged(pieces: Column) -> Column:
+        """Pieces up to and with one that ends in no abbreviation (or the last) are a sentence; the ends of sentences are found once."""
+        n = F.size(pieces)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | ~_ends_in_abbreviation(F.element_at(pieces, i)))
 
-        def step(acc: Column, piece: Column) -> Column:
-            grown = F.when(acc["open"] == "", piece).otherwise(F.concat(acc["open"], F.lit(" "), piece))
-            go_on = _ends_in_abbreviation(grown)
-            return F.struct(F.when(go_on, acc["done"]).otherwise(F.concat(acc["done"], F.array(grown))).alias("done"), F.when(go_on, grown).otherwise(F.lit("")).alias("open"))
+        def cut(ends: Column) -> Column:
+            start = lambda k: F.when(k == 0, 1).otherwise(F.get(ends, k - 1) + 1)
+            return F.transform(ends, lambda e, k: F.array_join(F.slice(pieces, start(k), e - start(k) + 1), " "))
 
-        return F.aggregate(pieces, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+        return _bound(ends, cut)
 
     # most paragraphs hold no abbreviation before a gap, and their pieces are their sentences
-    return F.flatten(F.transform(paragraphs, lambda p: F.when(F.exists(_pieces(p), _ends_in_abbreviation), merge(_pieces(p))).otherwise(_pieces(p))))
+    split = lambda p: _bound(_pieces(p), lambda x: F.when(F.exists(x, _ends_in_abbreviation), merged(x)).otherwise(x))
+    return F.flatten(F.transform(paragraphs, split))
 
 
 def pack_sentences(sents: Column, budget: int) -> Column:
@@ -171,6 +180,25 @@ def vision_context(section: Column, caption: Column) -> Column:
     return F.concat_ws(" ", F.concat(F.lit("Section: "), section, F.lit(".")), F.concat(F.lit("Caption: "), caption, F.lit(".")))
 
 
+SYSTEM_PROMPT = (
+    "You answer questions about monetary-policy documents. Use the numbered context passages only, name those you rely on as [Document n], "
+    "give figures as they are written, and say so where the passages do not hold the answer."
+)
+
+
+def abstention_prompt(question: Column, entropy: Column) -> Column:
+    """The prompt that asks for a short refusal instead of an answer, with the reason."""
+    return F.concat(
+        F.lit("The documents at hand leave the answer to this question too uncertain (entropy "), F.format_number(entropy, 2), F.lit(").\n\nQuestion: "), question,
+        F.lit("\n\nSay in one or two sentences that no reliable answer can be given, and what kind of document would be needed."),
+    )
+
+
+def chat(prompt: Column, system: str = SYSTEM_PROMPT) -> Column:
+    """``array<struct<role, content>>``: the system message and the user's prompt."""
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), prompt.alias("content")))
+
+
 def rag_prompt(question: Column, contents: Column) -> Column:
     """Numbered context passages followed by the question."""
     blocks = F.transform(contents, lambda c, i: F.concat(F.lit("[Document "), (i + 1).cast("string"), F.lit("]\n"), c))

@@ -5,29 +5,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerleaf.sources.stages import stage
+
 
 def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``query, id, score, rank``: the k best documents of every query.
+MOST_TERMS = 200_000
+
+
+def postings(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, int, float]:
+    """(``id, len, term, tf`` of the vocabulary's terms, number of documents, their mean length), from one scan.
+
+    A document's row with a null term carries its length. The vocabulary is sent to all tasks if it has 200,000 terms or fewer, so that
+    other tokens are dropped where they are read; frequencies are added up in each task before they travel.
+    """
+    known = vocabulary.select("term", F.lit(True).alias("known"))
+    if vocabulary.count() <= MOST_TERMS:
+        known = F.broadcast(known)
+    each = docs.select("id", terms(F.coalesce("text", F.lit(""))).alias("all")).select("id", F.size("all").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "all")).alias("term"))
+    kept = each.join(known, "term", "left").where(F.col("term").isNull() | F.col("known"))
+    counted = stage(kept.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n_docs, mean = counted.where(F.col("term").isNull()).agg(F.count(F.lit(1)), F.avg("len")).first()
+    return counted.where(F.col("term").isNotNull()), n_docs, mean or 1.0
+
 
-    docs: ``id, text``; queries: ``query, text``. Only postings of the queries' terms are made, by a join on the term; frequencies are
-    counted before they are shuffled by document. A frequent term's postings are as many as its documents and spread over tasks by document.
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, rare: float = 0.01) -> DataFrame:
+    """``query, id, score, rank``: the k best documents of every query; ties go to the lesser id.
+
+    docs: ``id, text``; queries: ``query, text``. Ids are unique. Null texts count as empty ones. A query's stop words pair with nearly all documents, so they
+    don't bring documents in: the k-th best score by the rare terms alone (those in at most a share of ``rare`` of the documents, and the rarest one)
+    is a bound from below, and the weakest terms whose greatest weights together stay under it can't lift a document over it. Documents
+    with none of the other terms are left out, all others get their whole score, so the result is exact.
     """
     asked = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
-    vocabulary = asked.select("term").distinct()
-    sized = docs.select("id", terms(F.col("text")).alias("all"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("all")).alias("mean"))
-    n_docs, mean = stats.first()
-    postings = sized.select("id", F.size("all").alias("len"), F.explode("all").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf")).join(vocabulary, "term")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = stage(asked.select("term").distinct(), "terms")
+    held, n_docs, mean = postings(docs, vocabulary)
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = postings.join(df, "term").select("term", "id", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(mean or 1.0))))).alias("w"))
-    scores = asked.join(weighted, "term").groupBy("query", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    weighted = held.join(df, "term").select("term", "id", "df", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(mean))))).alias("w"))
+    weighted = stage(weighted, "weights")
+    most = weighted.groupBy("term").agg(F.max("w").alias("most"), F.max("df").alias("df"))
+    each = asked.join(most, "term").withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("df", "term")))
+    each = stage(each.withColumn("is_rare", (F.col("df") <= rare * n_docs) | (F.col("nth") == 1)), "asked")
+
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    partial = each.where("is_rare").select("query", "term").join(weighted, "term").groupBy("query", "id").agg(F.sum("w").alias("score"))
+    bound = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query", F.col("score").alias("bound"))
+    together = F.sum("most").over(Window.partitionBy("query").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
+    roles = each.join(bound, "query", "left").withColumn("weak", F.coalesce(together < F.col("bound") - 1e-5, F.lit(False)))
+    roles = stage(roles.select("query", "term", "weak"), "roles")
+    strong = stage(roles.where(~F.col("weak")).select("query", "term").join(weighted, "term").groupBy("query", "id").agg(F.sum("w").alias("w")), "strong")
+    # the weak terms of the documents that are in: keyed by document, so that a stop word is no key
+    weak = strong.select("query", "id").join(roles.where("weak").select("query", "term"), "query").join(weighted.select("id", "term", "w"), ["id", "term"]).select("query", "id", "w")
+    scores = strong.unionByName(weak).groupBy("query", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

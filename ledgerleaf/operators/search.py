@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.vectors import METRICS
+from ledgerleaf.sources.stages import stage
 
 BLOCK_BYTES = 32 << 20
 
@@ -30,17 +31,17 @@ def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}; one of {METRICS}")
 
 
-def _scan(keys: list, block: np.ndarray, k: int, metric: str):
+def _scan(keys: list, block: np.ndarray, k: int, metric: str, text_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dist = np.full((len(keys), 0), np.inf)
-        ids = np.zeros((len(keys), 0), np.int64)
+        ids = np.zeros((len(keys), 0), "U1" if text_ids else np.int64)
         for batch in batches:
             if not len(batch):
                 continue
             found = np.round(distances(block, np.stack(batch["vector"].to_numpy()).astype(np.float64), metric), 9)
             found = np.where(np.isnan(found), np.inf, found)
             both = np.concatenate([dist, found], 1)
-            name = np.concatenate([ids, np.broadcast_to(batch["id"].to_numpy(np.int64), found.shape)], 1)
+            name = np.concatenate([ids, np.broadcast_to(batch["id"].to_numpy(str if text_ids else np.int64), found.shape)], 1)
             if both.shape[1] > 4 * k + 64:  # cut before the exact sort, ties kept
                 edge = np.partition(both, k - 1, axis=1)[:, k - 1 : k]
                 width = max(k, int((both <= edge).sum(1).max()))
@@ -49,7 +50,7 @@ def _scan(keys: list, block: np.ndarray, k: int, metric: str):
             order = np.lexsort((name, both), axis=1)[:, :k]
             dist, ids = np.take_along_axis(both, order, 1), np.take_along_axis(name, order, 1)
         n = ids.shape[1]
-        yield pd.DataFrame({"query": np.repeat(np.asarray(keys, np.int64), n), "id": ids.ravel(), "distance": dist.ravel()})
+        yield pd.DataFrame({"query": np.repeat(np.asarray(keys, np.int64), n), "id": ids.ravel().astype(object if text_ids else np.int64), "distance": dist.ravel()})
 
     return run
 
@@ -57,18 +58,21 @@ def _scan(keys: list, block: np.ndarray, k: int, metric: str):
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", where: Column | None = None) -> DataFrame:
     """``query, id, distance, rank`` of the k nearest rows of every query vector.
 
-    rows: ``id, vector`` (and whatever ``where`` reads); queries: ``query, vector``; ids are 64-bit numbers. Null vectors and those of another length
-    than the queries' are skipped. k of 0 means 5. Queries are read in blocks of at most 32 MB, with a pass over the rows for each.
+    rows: ``id, vector`` (and whatever ``where`` reads); queries: ``query, vector``; ids are strings or 64-bit numbers. Null ids, null vectors and those of
+    another length than the queries' are skipped. k of 0 means 5. Queries are read in blocks of at most 32 MB, with a pass over the rows for each;
+    if there are several blocks, the hits of each are staged before the next is read.
     """
     k = k or 5
     if where is not None:
         rows = rows.where(where)
     out, keys, block = None, [], []
     dims: int | None = None
+    text_ids = dict(rows.dtypes)["id"] == "string"
+    kind = "string" if text_ids else "long"
 
     def search(keys: list, block: list) -> DataFrame:
-        have = rows.select(F.col("id").cast("long").alias("id"), "vector").where(F.size("vector") == dims)
-        near = have.mapInPandas(_scan(keys, np.asarray(block, np.float64), k, metric), "query long, id long, distance double")
+        have = rows.select(F.col("id").cast(kind).alias("id"), "vector").where(F.col("id").isNotNull() & (F.size("vector") == dims))
+        near = have.mapInPandas(_scan(keys, np.asarray(block, np.float64), k, metric, text_ids), f"query long, id {kind}, distance double")
         w = Window.partitionBy("query").orderBy("distance", "id")
         return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -79,13 +83,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine
         keys.append(row[0])
         block.append(row[1])
         if len(block) * dims * 8 >= BLOCK_BYTES:
-            found = search(keys, block)
+            found = stage(search(keys, block), "hits")
             out, keys, block = (found if out is None else out.unionByName(found)), [], []
     if block:
         found = search(keys, block)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return rows.sparkSession.createDataFrame([], "query long, id long, distance double, rank int")
+        return rows.sparkSession.createDataFrame([], f"query long, id {kind}, distance double, rank int")
     return out
 
 

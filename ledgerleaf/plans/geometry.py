@@ -134,9 +134,17 @@ def j6(spark: SparkSession, d: str) -> DataFrame:
     return layout.captions(e.where("kind in ('TABLE', 'FIGURE')"), _lines(e))
 
 
-@query("j7_matched_captions")
+@query(
+    "j7_matched_captions",
+    f"""with recursive {BOXES}, gaps as (select v.doc_id, v.page, v.idx visual, c.idx caption, case when c.ymin >= v.ymax then c.ymin - v.ymax when v.ymin >= c.ymax then v.ymin - c.ymax end gap
+  from boxes v join boxes c on v.doc_id = c.doc_id and v.page = c.page and v.kind in ('TABLE', 'FIGURE') and c.kind in ('TEXT', 'CAPTION') and abs((v.xmin + v.xmax) / 2.0 - (c.xmin + c.xmax) / 2.0) <= 200),
+ v as (select doc_id, page, visual, row_number() over (partition by doc_id, page order by visual) n, list(caption order by gap, caption) options from gaps where gap < 50 group by doc_id, page, visual),
+ walk as (select doc_id, page, n, visual, options[1] pick, [options[1]] used from v where n = 1 union all
+  select doc_id, page, n, visual, pick, list_append(used, pick) from (select v.doc_id, v.page, v.n, v.visual, w.used, list_filter(v.options, lambda c: not list_contains(w.used, c))[1] pick from walk w join v on v.doc_id = w.doc_id and v.page = w.page and v.n = w.n + 1))
+ select doc_id, page, visual, pick caption from walk where pick is not null""",
+)
 def j7(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy, so without SQL; a test holds it against a plain loop."""
+    """Greedy: the SQL walks a page's visuals one by one; a test holds it against a plain loop too."""
     return layout.matched_captions(boxes(spark, d))
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions import filters, scores, vectors
-from ledgerleaf.functions.text import rag_prompt
+from ledgerleaf.functions import filters, records, scores, vectors
+from ledgerleaf.functions.text import abstention_prompt
 from ledgerleaf.operators import evaluation, lexical, rag, search
 from ledgerleaf.plans.common import query
 from ledgerleaf.sources import ingest, store
 from ledgerleaf.sources.providers import HashEmbedder, generated
+from ledgerleaf.sources.stages import new_path, stage
 from ledgerleaf.sources.tables import load
-from ledgerleaf.streaming.ingestion import rolling_statistics
+from ledgerleaf.streaming.ingestion import document_stream, rolling_statistics, stream_into
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -113,10 +114,10 @@ def t10(spark: SparkSession, d: str) -> DataFrame:
     """Top three chunks for the stated query set of questions by the stand-in embedder; hashing has no SQL."""
     e = HashEmbedder()
     once = load(spark, d, "document_chunks", ["chunk_id", "content"]).where(F.col("content").isNotNull()).groupBy("chunk_id").agg(F.min("content").alias("content"))
-    rows = e.documents(once.withColumn("id", F.xxhash64("chunk_id"))).select("id", F.col("embedding").alias("vector"))
+    rows = e.documents(once).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"))
     n = F.regexp_extract("question_id", r"(\d+)$", 1).cast("long")
     asked = load(spark, d, "eval_questions", ["question_id", "query_text"]).select(n.alias("query"), F.col("query_text").alias("content")).where(F.col("query") % 100 == 0)
-    return search.top_k(rows, e.queries(asked).select("query", F.col("embedding").alias("vector")), 3).select("query", "rank", F.round("distance", 6).alias("distance"))
+    return search.top_k(rows, e.queries(asked).select("query", F.col("embedding").alias("vector")), 3).select("query", "rank", F.col("id").alias("chunk_id"), F.round("distance", 6).alias("distance"))
 
 
 def _logprobs(spark: SparkSession, d: str) -> DataFrame:
@@ -135,6 +136,18 @@ def m6(spark: SparkSession, d: str) -> DataFrame:
     return g.select("id", "n_tokens", F.round("entropy", 6).alias("entropy"), "uncertainty_level", scores.confidence(F.col("uncertainty_level"), F.col("should_abstain")).alias("confidence"))
 
 
+@query(
+    "m6_deduplicated_entropy",
+    """with tops as (select vec_id id, i, 't' || (i * 7 % 13) token, cast(embedding[i] as double) * 8 x from embeddings, range(1, 31) r(i)), last as (select id, token, arg_max(x, i) x from tops group by id, token),
+ e as (select id, exp(x) / sum(exp(x)) over (partition by id) p from last) select id, cast(count(*) as integer) n_tokens, round(-sum(p * ln(p)), 6) entropy from e group by id""",
+)
+def m6_deduplicated(spark: SparkSession, d: str) -> DataFrame:
+    """One token of thirty alternatives in which tokens recur: the last of each counts."""
+    top = F.transform(F.slice("embedding", 1, 30), lambda x, i: F.struct(F.concat(F.lit("t"), ((i + 1) * 7 % 13).cast("string")).alias("token"), (x.cast("double") * 8).alias("logprob")))
+    e = load(spark, d, "embeddings", ["vec_id", "embedding"]).select(F.col("vec_id").alias("id"), rag.deduplicated(top).alias("logprobs"))
+    return e.select("id", F.size("logprobs").alias("n_tokens"), F.round(scores.token_entropy(F.col("logprobs")), 6).alias("entropy"))
+
+
 _LOG = "log as (select user_id, event_id, case when event_type <> 'view' then value / 10 end entropy, value latency, event_type = 'click' expanded, event_type = 'error' abstained from events)"
 
 
@@ -166,6 +179,16 @@ def rolling(spark: SparkSession, d: str) -> DataFrame:
     return rolling_statistics(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
+def _store(spark: SparkSession, **options) -> store.VectorStore:
+    return store.VectorStore(spark, new_path(spark, "store"), dimension=2, **options)
+
+
+def _records(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """Every chunk once, with a vector of two numbers; the store is what is looked at, not the vectors."""
+    e = load(spark, d, "document_chunks", ["chunk_id", "doc_id", "content", *names]).groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"), *(F.min(n).alias(n) for n in ("content", *names)))
+    return e.withColumn("embedding", F.array(F.length("chunk_id").cast("float"), F.coalesce(F.length("content"), F.lit(0)).cast("float")))
+
+
 @query(
     "s7_f11_upsert",
     """with e as (select chunk_id, min(doc_id) doc_id, min(content) content from document_chunks group by chunk_id),
@@ -174,20 +197,62 @@ def rolling(spark: SparkSession, d: str) -> DataFrame:
 )
 def s7(spark: SparkSession, d: str) -> DataFrame:
     """The store holds the documents whose id ends before m, those from 6 on come in; both together are all documents, and they overlap."""
-    e = load(spark, d, "document_chunks", ["chunk_id", "doc_id", "content"]).groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"), F.min("content").alias("content"))
-    end = F.substring("doc_id", -1, 1)
-    return store.upserted(e.where(end < "m"), e.where(end >= "6").withColumn("content", F.concat("content", F.lit(" (new)")))).select("chunk_id", "doc_id", F.md5("content").alias("md5"))
+    e, end, s = _records(spark, d), F.substring("doc_id", -1, 1), _store(spark)
+    s.upsert(e.where(end < "m"))
+    s.upsert(e.where(end >= "6").withColumn("content", F.concat("content", F.lit(" (new)"))))
+    return s.read().select("chunk_id", "doc_id", F.md5("content").alias("md5"))
 
 
 @query("s8_delete", "select chunk_id, coalesce(chunk_type, '') chunk_type from (select chunk_id, min(chunk_type) chunk_type, min(token_count) n from document_chunks group by chunk_id) where not coalesce(chunk_type = 'table' and n >= 100, false)")
 def s8(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "document_chunks", ["chunk_id", "chunk_type", "token_count"]).groupBy("chunk_id").agg(F.min("chunk_type").alias("chunk_type"), F.min("token_count").alias("n"))
-    return store.deleted(e, filters.where({"chunk_type": "table", "n": {"$gte": 100}})).select("chunk_id", F.coalesce("chunk_type", F.lit("")).alias("chunk_type"))
+    s = _store(spark)
+    s.upsert(_records(spark, d, "chunk_type", "token_count"))
+    s.delete({"chunk_type": "table", "token_count": {"$gte": 100}})
+    return s.read().select("chunk_id", F.coalesce("chunk_type", F.lit("")).alias("chunk_type"))
 
 
-@query("s9_count", "select count(distinct chunk_id) n_chunks, count(distinct doc_id) n_docs from document_chunks")
+@query(
+    "s6_s9_s10_store_life",
+    """with n as (select count(distinct chunk_id) n from document_chunks) select 'created' step, 'l2' metric, 0::bigint n_chunks union all select 'filled', 'l2', n from n union all select 'opened again', 'l2', n from n
+ union all select 'filled again', 'l2', n from n union all select 'reset', 'l2', 0""",
+)
 def s9(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "document_chunks", ["chunk_id", "doc_id"]).agg(F.countDistinct("chunk_id").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"))
+    """A collection's life: what it is measured by stays, and opening it again makes no new one."""
+    e, s = _records(spark, d), _store(spark, metric="l2")
+    life = [("created", s.manifest.metric, s.count())]
+    s.upsert(e)
+    life.append(("filled", s.manifest.metric, s.count()))
+    again = store.VectorStore(spark, s.path, "cosine", 3)
+    life.append(("opened again", again.manifest.metric, again.count()))
+    again.upsert(e)
+    life.append(("filled again", again.manifest.metric, s.count()))
+    again.reset()
+    life.append(("reset", s.manifest.metric, s.count()))
+    return spark.createDataFrame(life, "step string, metric string, n_chunks long")
+
+
+@query("s9_count", "select count(distinct chunk_id) n_chunks, count(distinct doc_id) n_docs from document_chunks")
+def s9_count(spark: SparkSession, d: str) -> DataFrame:
+    s = _store(spark)
+    s.upsert(_records(spark, d))
+    return s.read().agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(
+    "t1_store_query",
+    r"""with c as (select chunk_id, min(doc_id) doc_id, min(content) content, min(token_count) n from document_chunks group by chunk_id),
+ v as (select chunk_id, content, cast(length(chunk_id) as double) x, cast(coalesce(length(content), 0) as double) y from c where n >= 20 and contains(coalesce(content, ''), 'e')),
+ q as (select cast(regexp_extract(question_id, '(\d+)$', 1) as bigint) as query, cast(length(question_id) as double) x, cast(length(query_text) as double) y from eval_questions where cast(regexp_extract(question_id, '(\d+)$', 1) as bigint) % 100 = 0),
+ r as (select query, chunk_id, (q.x - v.x) ** 2 + (q.y - v.y) ** 2 distance, row_number() over (partition by query order by (q.x - v.x) ** 2 + (q.y - v.y) ** 2, chunk_id) rank from q cross join v)
+ select query, cast(rank as integer) rank, chunk_id, distance from r where rank <= 5""",
+)
+def t1_store(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest chunks of a store under filters of both kinds; equal distances go to the lesser chunk_id."""
+    s = _store(spark, metric="l2")
+    s.upsert(_records(spark, d, "token_count"))
+    n = F.regexp_extract("question_id", r"(\d+)$", 1).cast("long")
+    asked = load(spark, d, "eval_questions", ["question_id", "query_text"]).where(n % 100 == 0).select(n.alias("query"), F.array(F.length("question_id").cast("double"), F.length("query_text").cast("double")).alias("vector"))
+    return s.query(asked, 5, {"token_count": {"$gte": 20}}, {"$contains": "e"}).select("query", "rank", "chunk_id", "distance")
 
 
 @query("s5_point_scan", "select chunk_id, token_count from document_chunks where doc_id = (select min(doc_id) from document_chunks)")
@@ -213,7 +278,20 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
  select chunk_id, doc_id, md5(coalesce(content, '')) md5, coalesce(chunk_type, 'text') chunk_type, coalesce(token_count, 0) token_count, coalesce(section_anchor, '') section_anchor, coalesce(title, '') doc_title, coalesce(creation_date, '') doc_date, coalesce(keywords, []) keywords from c left join m using (doc_id)""",
 )
 def p1_rows(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.chunk_rows(_documents(spark, d)).select("chunk_id", "doc_id", F.md5("content").alias("md5"), "chunk_type", "token_count", "section_anchor", "doc_title", "doc_date", "keywords")
+    """The documents are written as JSON, a folder for each, and read again."""
+    at = new_path(spark, "processed")
+    ingest.write_documents(_documents(spark, d), at)
+    return ingest.chunk_rows(ingest.read_written(spark, at)).select("chunk_id", "doc_id", F.md5("content").alias("md5"), "chunk_type", "token_count", "section_anchor", "doc_title", "doc_date", "keywords")
+
+
+@query("s4_stream_into_store", "select chunk_id, min(doc_id) doc_id, md5(coalesce(min(content), '')) md5 from document_chunks group by chunk_id")
+def s4_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same files as a stream into a store, with the stand-in embedder; run to its end."""
+    at, e = new_path(spark, "processed"), HashEmbedder(dimension=2)
+    ingest.write_documents(_documents(spark, d), at)
+    s = _store(spark)
+    stream_into(document_stream(spark, at), s, e.documents, new_path(spark, "stream")).awaitTermination()
+    return s.read().select("chunk_id", "doc_id", F.md5("content").alias("md5"))
 
 
 @query("a4_ingestion_stats", "select count(distinct doc_id) docs_processed, count(*) chunks, cast(sum(coalesce(n, 0)) as bigint) tokens from (select doc_id, chunk_id, min(token_count) n from document_chunks group by doc_id, chunk_id)")
@@ -235,10 +313,9 @@ _BM25 = r"""d as (select doc_id id, regexp_extract_all(lower(text), '[\p{L}\p{N}
  ranked as (select query, id, score, cast(row_number() over (partition by query order by score desc, id) as integer) rank from sc)"""
 
 
-@query("r1_bm25", f"with {_BM25} select query, score, rank from ranked where rank <= 5")
+@query("r1_bm25", f"with {_BM25} select query, id, score, rank from ranked where rank <= 5")
 def r1(spark: SparkSession, d: str) -> DataFrame:
-    """Scores by rank; ids of documents with equal texts tie at the sixth place, so they are left out of the comparison."""
-    return lexical.bm25(*_asked(spark, d)).select("query", "score", "rank")
+    return lexical.bm25(*_asked(spark, d)).select("query", "id", "score", "rank")
 
 
 @query("r2_routes", "select question_id as query, case when regexp_matches(query_text, '[0-9]|[\"“”]') then 0.6 else 0.4 end lexical_weight, case when regexp_matches(query_text, '[0-9]|[\"“”]') then 0.4 else 0.6 end vector_weight from eval_questions")
@@ -259,7 +336,12 @@ def r3(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("score", F.round("score", 6))
 
 
-@query("r4_reranked")
+@query(
+    "r4_reranked",
+    f"""with {_BM25}, best as (select query, id from ranked where rank <= 10), qd as (select query, list(distinct term) qs from qt group by query),
+ o as (select query, id, cast(len(list_intersect(qs, list_distinct(ts))) as double) / len(qs) rerank_score from best join qd using (query) join d using (id)),
+ x as (select *, cast(row_number() over (partition by query order by rerank_score desc, id) as integer) rank from o) select query, id, rerank_score, rank from x where rank <= 5""",
+)
 def r4(spark: SparkSession, d: str) -> DataFrame:
     """Lexical candidates reranked by the stand-in scorer."""
     docs, asked = _asked(spark, d)
@@ -303,12 +385,34 @@ def j8(spark: SparkSession, d: str) -> DataFrame:
 
 @query("u3_responses")
 def u3(spark: SparkSession, d: str) -> DataFrame:
-    """Questions to answers through lexical retrieval, prompts, the stand-in generator and the gate."""
+    """Questions to answers: lexical retrieval to ten, prompts over five, the stand-in generator, the gate, and a second answer where the first is unsure."""
     docs, asked = _asked(spark, d)
-    hits = lexical.bm25(docs, asked).join(docs.select("id", F.col("text").alias("content")), "id").withColumn("distance", -F.col("score"))
-    packed = hits.groupBy("query").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]).alias("contents"))
-    prompts = packed.join(asked, "query").select("query", rag_prompt(F.col("text"), F.col("contents")).alias("prompt"))
-    out = generated(prompts)
-    h = F.transform("logprobs", scores.token_entropy)
-    entropy = F.aggregate(h, F.lit(0.0), lambda s, x: s + x) / F.size(h)
-    return rag.responses(asked, hits, out.select("query", "answer", entropy.alias("entropy"))).select("query", "answer", F.round("entropy", 6).alias("entropy"), "abstained", "confidence", "n_sources")
+    hits = lexical.bm25(docs, asked, 10).join(docs.select("id", F.col("text").alias("content")), "id").withColumn("distance", -F.col("score"))
+    out = rag.answered(asked, stage(hits, "hits"), generated)
+    return out.select("query", "answer", F.round("entropy", 6).alias("entropy"), "abstained", "expanded", "confidence", "n_sources")
+
+
+@query(
+    "x11_abstention_prompts",
+    r"""select question_id as query, 'The documents at hand leave the answer to this question too uncertain (entropy ' || printf('%.2f', 2 + difficulty / 4.0) || ').' || chr(10) || chr(10) || 'Question: ' || query_text || chr(10) || chr(10)
+ || 'Say in one or two sentences that no reliable answer can be given, and what kind of document would be needed.' prompt from eval_questions where difficulty is not null""",
+)
+def x11_abstention(spark: SparkSession, d: str) -> DataFrame:
+    q = load(spark, d, "eval_questions", ["question_id", "query_text", "difficulty"]).where(F.col("difficulty").isNotNull())
+    return q.select(F.col("question_id").alias("query"), abstention_prompt(F.col("query_text"), 2 + F.col("difficulty") / 4.0).alias("prompt"))
+
+
+@query("s15_question_records", "select question_id, query_text, expected_answer, question_type, difficulty, requires_table, requires_multi_doc, source_documents, key_values from eval_questions")
+def s15(spark: SparkSession, d: str) -> DataFrame:
+    """Questions to JSON text and back."""
+    return records.from_records(records.to_records(load(spark, d, "eval_questions"), records.QUESTION), records.QUESTION)
+
+
+@query(
+    "s15_date_metadata_records",
+    """select distinct doc_id, case when lower(trim(doc_type)) in ('statement', 'minutes', 'presconf', 'sep', 'implementation') then lower(trim(doc_type)) end doc_type, strftime(doc_date, '%Y-%m-%dT%H:%M:%S') iso_date, doc_date, meeting_date, pages from document_metadata""",
+)
+def s15_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata to JSON text with ISO dates and back to times."""
+    m = records.from_records(records.to_records(load(spark, d, "document_metadata"), records.METADATA), records.METADATA)
+    return m.select("doc_id", records.document_type(F.col("doc_type")).alias("doc_type"), F.col("doc_date").alias("iso_date"), records.from_iso(F.col("doc_date")).alias("doc_date"), records.from_iso(F.col("meeting_date")).alias("meeting_date"), "pages").distinct()

@@ -31,6 +31,17 @@ def read_documents(spark: SparkSession, directory: str, doc_id: str | None = Non
     return spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(pattern)
 
 
+def write_documents(documents: DataFrame, directory: str) -> None:
+    """Processed documents as JSON, a folder ``doc=<id>`` for each."""
+    documents.drop("_corrupt_record").withColumn("doc", F.col("doc_id")).repartition("doc").write.partitionBy("doc").json(directory)
+
+
+def read_written(spark: SparkSession, directory: str, doc_id: str | None = None) -> DataFrame:
+    """What ``write_documents`` wrote: all documents, or one."""
+    at = f"{directory.rstrip('/')}/doc={doc_id or '*'}/part-*.json"
+    return spark.read.schema(DOCUMENT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(at)
+
+
 def chunk_rows(documents: DataFrame) -> DataFrame:
     """A row per chunk with its document's metadata; missing values become "", [] or 0. Arrays stay arrays."""
     e = documents.select("doc_id", "metadata", F.explode("chunks").alias("c"))

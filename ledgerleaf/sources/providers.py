@@ -9,6 +9,7 @@ import hashlib
 import json
 import re
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any, Protocol
@@ -56,14 +57,45 @@ class Model(Protocol):
     def load(self) -> Callable[[str], Any]: ...
 
 
-def mapped(df: DataFrame, model: Model, column: str, output: str, kind: str, encode: Callable[[Any], Any] = lambda x: x) -> DataFrame:
+class BatchModel(Protocol):
+    """A provider that takes ``batch`` inputs at once."""
+
+    batch: int
+
+    def load_batch(self) -> Callable[[list], list]: ...
+
+
+def _in_batches(call: Callable[[list], list], size: int, values: list) -> Iterator[tuple[Any, str | None]]:
+    """(output, message) of every input; a batch that fails is tried one by one, so that only bad inputs have no output."""
+    for lo in range(0, len(values), size):
+        part = values[lo : lo + size]
+        have = [x for x in part if x is not None]
+        try:
+            done = iter(call(have) if have else [])
+            yield from [(None, None) if x is None else (next(done), None) for x in part]
+        except Exception:  # noqa: BLE001
+            for x in part:
+                try:
+                    yield (None if x is None else call([x])[0], None)
+                except Exception as e:  # noqa: BLE001
+                    yield None, f"{type(e).__name__}: {e}"[:500]
+
+
+def mapped(df: DataFrame, model: Model | BatchModel, column: str, output: str, kind: str, encode: Callable[[Any], Any] = lambda x: x) -> DataFrame:
     """``df`` with ``output`` from the model and ``<output>_error``, in Arrow batches."""
     schema = df.select("*", F.lit(None).cast(kind).alias(output), F.lit(None).cast("string").alias(f"{output}_error")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = model.load()
+        many = model.load_batch() if hasattr(model, "load_batch") else None
+        call = None if many else model.load()
         for batch in batches:
             good, bad = [], []
+            if many:
+                for y, problem in _in_batches(many, model.batch, batch[column].tolist()):
+                    good.append(None if y is None else encode(y))
+                    bad.append(problem)
+                yield batch.assign(**{output: pd.Series(good, index=batch.index, dtype=object), f"{output}_error": pd.Series(bad, index=batch.index, dtype=object)})
+                continue
             for x in batch[column]:
                 try:
                     good.append(None if x is None else encode(call(x)))
@@ -82,6 +114,11 @@ class HashEmbedder:
 
     dimension: int = 64
     model: str = "stub-bge"
+    batch: int = 32
+
+    def load_batch(self) -> Callable[[list[str]], list[list[float]]]:
+        one = self.load()
+        return lambda texts: [one(t) for t in texts]
 
     def load(self) -> Callable[[str], list[float]]:
         def embed(content: str) -> list[float]:
@@ -132,6 +169,94 @@ def generated(prompts: DataFrame, model: Model = EchoModel()) -> DataFrame:
     return out.select(*prompts.columns, "generation.*", "generation_error")
 
 
+def _post(url: str, body: bytes, kind: str, token: str | None, timeout: float) -> bytes:
+    request = urllib.request.Request(url, body, {"Content-Type": kind} | ({"Authorization": f"Bearer {token}"} if token else {}))
+    with urllib.request.urlopen(request, timeout=timeout) as reply:
+        return reply.read()
+
+
+@dataclass(frozen=True)
+class ChatEndpoint:
+    """A generator behind an HTTP endpoint of the common chat-completions form, with log-probabilities of the likeliest tokens.
+
+    A prompt is a string, sent as the user's message after the system's. ``generation`` of a row that fails is null with a message.
+    """
+
+    url: str
+    model: str
+    system: str = text.SYSTEM_PROMPT
+    max_tokens: int = 512
+    temperature: float = 0.1
+    top_p: float = 0.9
+    top_logprobs: int = 20
+    token: str | None = None
+    timeout: float = 120.0
+    policy: RetryPolicy = RetryPolicy()
+
+    def load(self) -> Callable[[str], dict]:
+        def ask(prompt: str, temperature: float) -> dict:
+            messages = [{"role": "system", "content": self.system}, {"role": "user", "content": prompt}]
+            body = {"model": self.model, "messages": messages, "max_tokens": self.max_tokens, "temperature": temperature, "top_p": self.top_p, "logprobs": True, "top_logprobs": self.top_logprobs}
+            data = json.loads(_post(self.url, json.dumps(body).encode(), "application/json", self.token, self.timeout))
+            choice, usage = data["choices"][0], data.get("usage") or {}
+            tops = [{t["token"]: float(t["logprob"]) for t in x.get("top_logprobs") or []} for x in ((choice.get("logprobs") or {}).get("content") or [])]  # a repeated token counts once, the last time
+            return {"answer": choice["message"]["content"], "logprobs": [list(t.values()) for t in tops if t], "prompt_tokens": usage.get("prompt_tokens"), "completion_tokens": usage.get("completion_tokens")}
+
+        return lambda prompt: self.policy.run(lambda more: ask(prompt, max(self.temperature, more)))
+
+    def reachable(self) -> bool:
+        """Whether the endpoint answers at all."""
+        try:
+            self.load()("Say yes.")
+        except Exception:  # noqa: BLE001
+            return False
+        return True
+
+
+@dataclass(frozen=True)
+class LayoutEndpoint:
+    """A layout model behind an HTTP endpoint: a page's bytes are posted, the reply is JSON with ``elements`` or ``layout``."""
+
+    url: str
+    kind: str = "application/octet-stream"
+    token: str | None = None
+    timeout: float = 120.0
+
+    def load(self) -> Callable[[bytes], str]:
+        read = LayoutReader().load()
+        return lambda page: read(_post(self.url, page if isinstance(page, bytes) else str(page).encode(), self.kind, self.token, self.timeout).decode())
+
+
+@dataclass(frozen=True)
+class BlockDetector:
+    """A stand-in for a layout model that sees text blocks instead of an image: ``[{"text", "ymin", "xmin", "ymax", "xmax"}]`` to a reply with elements.
+
+    Lines in capitals are headers, runs of lines with bars tables, lines that begin like a caption captions, other runs text.
+    """
+
+    def load(self) -> Callable[[str], str]:
+        def kind(line: str) -> str:
+            s = line.strip()
+            if s.isupper() and len(s) > 5:
+                return "HEADER"
+            if s.count("|") >= 2:
+                return "TABLE"
+            return "CAPTION" if s.lower().startswith(text.CAPTION_WORDS) else "TEXT"
+
+        def detect(blocks: str) -> str:
+            out: list[dict] = []
+            for b in json.loads(blocks):
+                k = kind(b["text"])
+                if out and out[-1]["type"] == k and k in ("TABLE", "TEXT"):
+                    last = out[-1]["box"]
+                    out[-1]["box"] = [min(last[0], b["ymin"]), min(last[1], b["xmin"]), max(last[2], b["ymax"]), max(last[3], b["xmax"])]
+                else:
+                    out.append({"type": k, "box": [b["ymin"], b["xmin"], b["ymax"], b["xmax"]]})
+            return json.dumps({"elements": out})
+
+        return detect
+
+
 @dataclass(frozen=True)
 class TableReader:
     """A stand-in for a vision model: gives the text it is handed, after the retry policy."""
