@@ -35,6 +35,12 @@ def test_csv_drops_empty_columns():
     assert semistructured.check_csv("a,bbbb,cccc\n1,,2\n3,,4")[4] == [{"a": "1", "cccc": "2"}, {"a": "3", "cccc": "4"}]
 
 
+def test_csv_quotes_blank_lines_and_wide_rows():
+    assert semistructured.check_csv('a,"b, c"\n"1\n2",3\n\n4,NA\n')[4] == [{"a": "1\n2", "b, c": "3"}, {"a": "4"}]
+    assert semistructured.check_csv("a,bbbbbbb\n1,2,3")[3] == "Parse error" == semistructured.check_csv('a,bbbbb\n"1,2')[3]
+    assert semistructured.check_csv("a,a,bbbbb\n1,2\n3,4,5")[4] == [{"a": "1", "a.1": "2"}, {"a": "3", "a.1": "4", "bbbbb": "5"}]
+
+
 def test_gate_boundaries(spark):
     rows = spark.createDataFrame([(1, 1.5), (2, 2.0), (3, 2.000001), (4, 1.4), (5, None)], "id int, entropy double")
     got = {r.id: (r.uncertainty_level, r.should_expand, r.should_abstain) for r in rag.gated(rows).collect()}

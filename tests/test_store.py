@@ -119,3 +119,60 @@ def test_shared_folder_is_the_sessions(spark):
     path = stages.new_path(spark, "label")
     assert path.startswith(stages.shared_dir(spark)) and path != stages.new_path(spark, "label")
     assert stages.stage(spark.range(3), "x").count() == 3
+
+
+def test_a_change_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    schema = "chunk_id string, doc_id string, content string, embedding array<float>"
+    rows = spark.createDataFrame([(f"c{i}", f"d{i}", "x", [1.0, 2.0]) for i in range(40)], schema)
+    s = VectorStore(spark, str(tmp_path / "s"), dimension=2, buckets=8)
+    s.upsert(rows)
+    before = s.manifest
+    s.upsert(spark.createDataFrame([("c3", "d3", "y", [1.0, 2.0])], schema).withColumn("more", F.lit(7)))
+    after = s.manifest
+    assert after.number == before.number + 1 and sum(after.parts[b] != before.parts[b] for b in before.parts) == 1
+    assert {(r.chunk_id, r.content, r.more) for r in s.read().where("chunk_id in ('c3', 'c4')").collect()} == {("c3", "y", 7), ("c4", "x", None)} and s.count() == 40
+    s.delete({"doc_id": "d5"})
+    assert s.count() == 39 and sum(s.manifest.parts.get(b) != after.parts[b] for b in after.parts) == 1
+    # versions that no recent manifest names are gone
+    names = {p.name for p in (tmp_path / "s" / "data").iterdir()}
+    assert names == set(after.parts.values()) | set(s.manifest.parts.values()) and len(list((tmp_path / "s" / "manifests").glob("*.json"))) == 2
+
+
+def test_of_two_writers_the_second_fails(spark, tmp_path):
+    s = VectorStore(spark, str(tmp_path / "s"), dimension=2)
+    stale = s.manifest
+    s.reset()
+    with pytest.raises(RuntimeError):
+        s._publish(stale.__class__(stale.number + 1, "l2", 2, 8))
+    assert s.manifest.metric == "cosine"
+
+
+def test_embeddings_are_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(f"c{i}", "d", "x", [1.0, 2.0]) for i in range(10)], "chunk_id string, doc_id string, content string, embedding array<float>")
+    s = VectorStore(spark, str(tmp_path / "s"), dimension=2)
+    for n in (10, 20):
+        s.upsert(rows.mapInPandas(count, rows.schema))
+        assert seen.value == n and s.count() == 10
+
+
+def test_hits_carry_chunk_ids_and_ties_go_to_the_lesser(spark, tmp_path):
+    rows = spark.createDataFrame([(c, "d", c, [1.0, 0.0]) for c in ("b", "a", "c10", "c9")], "chunk_id string, doc_id string, content string, embedding array<float>")
+    s = VectorStore(spark, str(tmp_path / "s"), dimension=2)
+    s.upsert(rows)
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query long, vector array<double>")
+    assert [r.chunk_id for r in s.query(q, 3).orderBy("rank").collect()] == ["a", "b", "c10"]
+
+
+def test_documents_written_and_read(spark, tmp_path):
+    docs = spark.createDataFrame([("a b", ("T", None, "f"), [("c1", "x\ny")])], "doc_id string, metadata struct<title:string,creation_date:string,source_file:string>, chunks array<struct<chunk_id:string,content:string>>")
+    ingest.write_documents(docs, str(tmp_path / "out"))
+    row = ingest.chunk_rows(ingest.read_written(spark, str(tmp_path / "out"))).first()
+    assert (row.chunk_id, row.doc_id, row.content, row.doc_title) == ("c1", "a b", "x\ny", "T")
+    assert ingest.read_written(spark, str(tmp_path / "out"), "a b").count() == 1

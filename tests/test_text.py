@@ -47,3 +47,16 @@ def test_counts(spark):
     assert column(spark, ["x" * 201, "x" * 200], text.preview) == ["x" * 200 + "...", "x" * 200]
     assert column(spark, ["Q", None], lambda c: text.query_prefix(c, "intfloat/e5")) == ["query: Q", None]
     assert column(spark, ["Q"], lambda c: text.query_prefix(c, "instructor")) == ["Q"]
+
+
+def test_sentences_end_as_the_plain_split_does(spark):
+    import random
+
+    from ledgerleaf.operators.chunking import split_sentences
+
+    rnd = random.Random(2)
+    bits = ["Rates rose.", "Dr.", "Vore said no.", "U.S.", "It fell!", "etc.", "Why?", "The end", "\n\n", "No. 7 is it."]
+    texts = [" ".join(rnd.choice(bits) for _ in range(rnd.randrange(12))) for _ in range(150)] + ["", "etc.", "Dr. Mr. Ms.", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", text.sentences(F.col("t")).alias("s")).collect()}
+    assert all(got[i] == (None if t is None else split_sentences(t)) for i, t in enumerate(texts))
