@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ledgerleaf.llm.blocks import dealt_pairs
 from ledgerleaf.sources.stages import drop, new_path, read_text, stage, write_text
 
-GRAM = 48
+GRAM = 96  # shorter ones are shared by many texts that share no span
 FAN_OUT = 4
 BATCHES = FAN_OUT + 1  # the last one is held against a compacted run
 HOT = 64
