@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import leakage, markup, neardup, packing, repeated_lines, scan_noise, sentences, shared_spans, splitting
@@ -60,11 +60,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_units(spark: SparkSession, d: str) -> DataFrame:
-    """The units with their texts."""
+    """The units with their texts, numbered from 0."""
     queue = load(spark, d, "sentence_queue", ["chunk_id"]).select(F.col("chunk_id").alias("doc")).distinct()
-    once = _chunks(spark, d).join(queue, "doc", "left_semi").where(F.col("text").isNotNull()).groupBy("doc").agg(F.min("text").alias("text"))
-    each = once.select("doc", "text", F.posexplode(sentences.units(F.col("text"))).alias("unit_no", "u"))
-    return each.select(F.col("doc").alias("chunk_id"), "unit_no", "u.start_pos", "u.n_chars", F.substring("text", F.col("u.start_pos"), F.col("u.n_chars")).alias("unit"))
+    docs = _chunks(spark, d).join(queue, "doc", "left_semi")
+    once = docs.where(F.col("text").isNotNull()).groupBy("doc").agg(F.min("text").alias("text"))
+    each = sentences.sentence_units(docs).join(once, "doc")
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("start_pos")) - 1
+    return each.select(F.col("doc").alias("chunk_id"), nth.alias("unit_no"), "start_pos", "n_chars", F.substring("text", F.col("start_pos"), F.col("n_chars")).alias("unit"))
 
 
 def _doc_types(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +193,46 @@ grams as (select doc_id, array_to_string(w[i : i + 7], ' ') g from (select doc_i
 items as (select question_id, {_WORDS.format('query_text')} w from eval_questions union all select question_id, {_WORDS.format('expected_answer')} from eval_questions),
 asked as (select distinct question_id, array_to_string(w[i : i + 7], ' ') g from (select question_id, w, unnest(range(1, len(w) - 6)) i from items)),
 leaks as (select distinct doc_id, question_id from grams join asked using (g))"""
+_REPEATED = r"""
+with types as (select doc_id, min(nullif(lower(trim(doc_type)), '')) source from document_metadata group by doc_id),
+chunks as (select distinct chunk_id, doc_id, content from document_chunks),
+typed as (select chunk_id, min(source) source, any_value(content) content from chunks join types using (doc_id) where source is not null group by chunk_id),
+cut as (select chunk_id, source, string_split(content, chr(10)) parts from typed where content is not null),
+lines as (select chunk_id, source, unnest(parts) raw, unnest(range(1, len(parts) + 1)) line_no from cut),
+plain as (select chunk_id, source, line_no, lower(trim(regexp_replace(raw, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) line from lines),
+often as (select source, line from plain where length(line) >= 25 group by source, line
+  having count(distinct chunk_id) >= 10 and count(distinct chunk_id) * 1000 >= (select count(*) from typed t where t.source = plain.source))"""
+
+
+def _groups(src: str, k: int, least: int, threshold: float) -> str:
+    """SQL of the groups of near-duplicates of a table ``src(doc, text)``."""
+    gram = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return f"""{src}, ws as (select doc, {_WORDS.format('min(text)')} w from src where text is not null group by doc),
+keyed as (select doc, w, array_to_string(w, ' ') key from ws where len(w) >= {least}),
+classes as (select min(doc) rep, key, any_value(w) w, count(*) n_copies from keyed group by key),
+grams as (select distinct rep, {gram} g from (select rep, w, unnest(range(1, len(w) - {k - 2})) i from classes where len(w) >= {k})),
+sizes as (select rep, count(*) n from grams group by rep),
+met as (select a.rep a, b.rep b, count(*) n from grams a join grams b on a.g = b.g and a.rep < b.rep group by all),
+links as (select a, b from met join sizes x on x.rep = a join sizes y on y.rep = b where met.n >= {threshold} * (x.n + y.n - met.n) - 1e-9),
+edges as (select a, b from links union all select b, a from links), degree as (select a rep, count(*) n_links from edges group by a),
+reach as (select a, b from edges union select r.a, e.b from reach r join edges e on e.a = r.b),
+names as (select a rep, least(a, min(b)) group_id from reach group by a),
+groups as (select doc, coalesce(group_id, c.rep) group_id, coalesce(n_links, 0) n_links, n_copies from keyed join classes c using (key) left join degree d on d.rep = c.rep left join names n on n.rep = c.rep where n_links is not null or n_copies > 1)"""
+
+
 ORACLES: dict[str, str] = {
+    "p2_groups": f"""with recursive {_groups('src as (select chunk_id doc, content as text from document_chunks)', 3, 20, 0.6)},
+meetings as (select doc_id, min(meeting_date) meeting_date from document_metadata group by doc_id),
+dated as (select chunk_id doc, min(meeting_date) meeting_date from document_chunks left join meetings using (doc_id) group by chunk_id)
+select doc chunk_id, group_id, n_links, n_copies, meeting_date, count(distinct meeting_date) over (partition by group_id) n_meetings from groups left join dated using (doc)""",
+    "p2_corpus_groups": f"with recursive {_groups('src as (select doc_id doc, text from documents)', 5, 1, 0.8)} select doc doc_id, group_id, n_links, n_copies from groups",
+    "p8_matches": f"""with ws as (select doc_id, {_WORDS.format('text')} w from documents),
+grams as (select doc_id, i, array_to_string(w[i : i + 7], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 6)) i from ws)),
+items as (select question_id, 'query_text' field, {_WORDS.format('query_text')} w from eval_questions union all select question_id, 'expected_answer', {_WORDS.format('expected_answer')} from eval_questions),
+asked as (select question_id, field, j, array_to_string(w[j : j + 7], ' ') g from (select question_id, field, w, unnest(range(1, len(w) - 6)) j from items)),
+met as (select doc_id, question_id, field, i, j, i - row_number() over (partition by doc_id, question_id, field, i - j order by i) run from grams join asked using (g)),
+runs as (select doc_id, question_id, field, count(*) + 7 n, min(i) - 1 i, min(j) - 1 j from met group by doc_id, question_id, field, i - j, run)
+select doc_id, question_id, field, cast(n as integer) n_words, cast(i as integer) doc_word, cast(j as integer) item_word from runs qualify row_number() over (partition by doc_id, question_id, field order by n desc, i, j) = 1""",
     "p2_found": f"""with ws as (select chunk_id, {_WORDS.format('any_value(content)')} w from document_chunks where content is not null group by chunk_id),
 grams as (select distinct chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g from (select chunk_id, w, unnest(range(1, len(w) - 1)) i from ws where len(w) >= 20)),
 sizes as (select chunk_id, count(*) n from grams group by chunk_id),
@@ -213,15 +254,11 @@ steps as (select doc_id, i - lag(i, 1, -200) over (partition by doc_id order by
 part as (select doc_id, sum(least(step, 200)) shared from steps group by doc_id)
 select doc_id, d.n n_chars, cast(case when c.rep is not null then d.n else shared end as bigint) shared_chars, round(cast(case when c.rep is not null then d.n else shared end as double) / d.n, 6) shared_share, coalesce(n_copies, 1) n_copies
 from docs d left join part using (doc_id) left join copies c using (doc_id) where shared is not null or c.rep is not null""",
-    "p4_found": r"""
-with types as (select doc_id, min(nullif(lower(trim(doc_type)), '')) source from document_metadata group by doc_id),
-chunks as (select distinct chunk_id, doc_id, content from document_chunks),
-typed as (select chunk_id, min(source) source, any_value(content) content from chunks join types using (doc_id) where source is not null group by chunk_id),
-cut as (select chunk_id, source, string_split(content, chr(10)) parts from typed where content is not null),
-lines as (select chunk_id, source, unnest(parts) raw, unnest(range(1, len(parts) + 1)) line_no from cut),
-plain as (select chunk_id, source, line_no, lower(trim(regexp_replace(raw, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) line from lines),
-often as (select source, line from plain where length(line) >= 25 group by source, line
-  having count(distinct chunk_id) >= 10 and count(distinct chunk_id) * 1000 >= (select count(*) from typed t where t.source = plain.source))
+    "p4_found": _REPEATED + """
 select chunk_id, cast(line_no as integer) line_no from plain join often using (source, line)""",
+    "p4_cleaned": _REPEATED + """,
+gone as (select chunk_id, list(distinct line_no) gone from plain join often using (source, line) group by chunk_id),
+once as (select chunk_id, min(content) content from document_chunks group by chunk_id)
+select chunk_id, case when gone is null then content else array_to_string(list_filter(string_split(content, chr(10)), lambda x, i: not list_contains(gone, i)), chr(10)) end content from once left join gone using (chunk_id)""",
     "p6_found": "select distinct chunk_id from document_chunks where length(content) // 4 > 1024",
 }

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Placeholders: a masked mark, a masked mark within a quotation, the line feed of a blank line, straight quotes that open and close.
@@ -117,31 +117,21 @@ def masked(text: Column) -> Column:
     return _inner(reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), [("(?U)" + p, r) for p, r in _steps()], own), text)
 
 
-def units(text: Column) -> Column:
-    """``array<struct<start_pos, n_chars>>`` of a text's units, places 1-based, without outer white space."""
-    cut = F.regexp_replace(masked(text), "(?U)" + _ends(), f"$0{CUT}")
-    parts = F.split(cut, CUT)
-    # a running place: parts tile the text
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start_pos:int,n_chars:int>>").alias("done")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).alias("at"),
-            F.concat(
-                acc["done"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(p) - F.length(F.regexp_replace(p, rf"(?U)^[\s{BLANK}]+", ""))).cast("int").alias("start_pos"),
-                        F.length(F.regexp_replace(p, rf"(?U)^[\s{BLANK}]+|[\s{BLANK}]+$", "")).cast("int").alias("n_chars"),
-                    )
-                ),
-            ).alias("done"),
-        ),
-    )["done"]
-    return F.filter(placed, lambda u: u["n_chars"] > 0)
+def _parts(text: Column) -> Column:
+    """The pieces of the masked text that end a unit each; they tile it."""
+    return F.split(F.regexp_replace(masked(text), "(?U)" + _ends(), f"$0{CUT}"), CUT)
 
 
 def sentence_units(docs: DataFrame) -> DataFrame:
-    """``doc, start_pos, n_chars`` of every unit of ``doc, text``."""
+    """``doc, start_pos, n_chars`` of every unit of ``doc, text``, places 1-based, without outer white space.
+
+    A piece's place is the running sum of the lengths before it, over rows that lie together by ``doc`` already.
+    """
     once = docs.where(F.col("doc").isNotNull() & F.col("text").isNotNull()).groupBy("doc").agg(F.min("text").alias("text"))
-    return once.select("doc", F.explode(units(F.col("text"))).alias("u")).select("doc", "u.start_pos", "u.n_chars")
+    pieces = once.select("doc", F.posexplode(_parts(F.col("text"))).alias("nth", "p"))
+    sized = pieces.select(
+        "doc", "nth", F.length("p").alias("size"), F.length(F.regexp_replace("p", rf"(?U)^[\s{BLANK}]+", "")).alias("rest"), F.length(F.regexp_replace("p", rf"(?U)^[\s{BLANK}]+|[\s{BLANK}]+$", "")).alias("n_chars")
+    )
+    w = Window.partitionBy("doc").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sized.select("doc", (F.sum("size").over(w) - F.col("rest") + 1).cast("int").alias("start_pos"), F.col("n_chars").cast("int").alias("n_chars"))
+    return placed.where(F.col("n_chars") > 0)
