@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import leakage, markup, neardup, packing, repeated_lines, scan_noise, sentences, shared_spans, splitting
+from ledgerleaf.sources.stages import stage
 from ledgerleaf.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +70,12 @@ def p3_units(spark: SparkSession, d: str) -> DataFrame:
     return each.select(F.col("doc").alias("chunk_id"), nth.alias("unit_no"), "start_pos", "n_chars", F.substring("text", F.col("start_pos"), F.col("n_chars")).alias("unit"))
 
 
+def p3_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The units of each chunk put together again, without white space: they must be the content's."""
+    u = p3_units(spark, d).groupBy("chunk_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("unit_no", "unit"))), lambda x: x["unit"]), "").alias("t"), F.count(F.lit(1)).alias("n"))
+    return u.select("chunk_id", F.md5(F.regexp_replace("t", r"(?U)[\s\x1c-\x1f]+", "")).alias("md5"))
+
+
 def _doc_types(spark: SparkSession, d: str) -> DataFrame:
     """``doc_id, source``: every document's type without case and padding; blank types are none."""
     kind = F.lower(F.trim("doc_type"))
@@ -132,6 +139,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where((F.col("limit_id") == "split_default") & (F.col("piece_no") == 1)).select("chunk_id").distinct()
 
 
+def p6_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of each chunk put together again without their overlaps, and whether all keep the limit and the stated overlap."""
+    limits = F.broadcast(load(spark, d, "size_limits").where("purpose = 'split'").select("limit_id", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("lap")))
+    p = p6_pieces(spark, d).join(limits, "limit_id")
+    own = F.struct("piece_no", F.expr("substring(content, overlap_chars + 1, n_chars)").alias("t"))
+    kept = (F.col("token_count") <= F.col("max_tokens")) & (F.col("overlap_chars") == F.when(F.col("piece_no") == 0, 0).otherwise(F.least(4 * F.col("lap"), F.col("start_pos") - 1 + F.col("overlap_chars"))))
+    whole = p.groupBy("limit_id", "chunk_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(own)), lambda x: x["t"]), "").alias("t"), F.bool_and(kept).alias("kept"))
+    return whole.select("limit_id", "chunk_id", F.md5("t").alias("md5"), "kept")
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_texts(spark, d), load(spark, d, "size_limits")).withColumnRenamed("doc", "doc_id")
 
@@ -142,6 +159,16 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_summary(packing.pack(_texts(spark, d), limits), limits)
 
 
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: documents packed, containers over the capacity, documents cut though they fit, documents whose pieces don't follow one another."""
+    limits = load(spark, d, "size_limits")
+    packed = stage(packing.pack(_texts(spark, d), limits), "packed").join(limits.select("limit_id", "max_tokens"), "limit_id")
+    over = packed.groupBy("limit_id", "container_id").agg((F.sum("n_tokens") > F.max("max_tokens")).cast("int").alias("over")).groupBy("limit_id").agg(F.sum("over").alias("n_over"))
+    docs = packed.groupBy("limit_id", "doc").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.max("max_tokens").alias("most"))
+    docs = docs.groupBy("limit_id").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= F.col("most"))).alias("n_cut"), F.count_if(F.col("end") != F.col("tokens")).alias("n_gaps"))
+    return docs.join(over, "limit_id").select("limit_id", "n_docs", "n_over", "n_cut", "n_gaps")
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     each = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("query_text", "expected_answer")))
     return load(spark, d, "eval_questions").select(F.col("question_id").alias("item"), F.explode(each).alias("x")).select("item", "x.*")
@@ -182,7 +209,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_amounts(_texts(spark, d)).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p2_corpus_groups, p3_found, p3_units, p4_found, p4_cleaned, p5_found, p5_tokens, p5_cleaned, p5_templates, p5_slots, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_matches, p8_kept, p9_found, p9_spans, p9_shared)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p2_corpus_groups, p3_found, p3_units, p3_rejoined, p4_found, p4_cleaned, p5_found, p5_tokens, p5_cleaned, p5_templates, p5_slots, p6_found, p6_pieces, p6_rejoined, p7_containers, p7_fill, p7_checked, p8_found, p8_matches, p8_kept, p9_found, p9_spans, p9_shared)}
 _LONG = """docs as (select doc_id, text, length(text) n from documents where length(text) >= 200),
 reps as (select min(doc_id) doc_id, min(n) n, text, count(*) n_copies from docs group by text),
 copies as (select d.doc_id, r.doc_id rep, r.n_copies, d.n from docs d join reps r on d.text = r.text where r.n_copies > 1),
@@ -193,6 +220,7 @@ grams as (select doc_id, array_to_string(w[i : i + 7], ' ') g from (select doc_i
 items as (select question_id, {_WORDS.format('query_text')} w from eval_questions union all select question_id, {_WORDS.format('expected_answer')} from eval_questions),
 asked as (select distinct question_id, array_to_string(w[i : i + 7], ' ') g from (select question_id, w, unnest(range(1, len(w) - 6)) i from items)),
 leaks as (select distinct doc_id, question_id from grams join asked using (g))"""
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _REPEATED = r"""
 with types as (select doc_id, min(nullif(lower(trim(doc_type)), '')) source from document_metadata group by doc_id),
 chunks as (select distinct chunk_id, doc_id, content from document_chunks),
@@ -260,5 +288,9 @@ select chunk_id, cast(line_no as integer) line_no from plain join often using (s
 gone as (select chunk_id, list(distinct line_no) gone from plain join often using (source, line) group by chunk_id),
 once as (select chunk_id, min(content) content from document_chunks group by chunk_id)
 select chunk_id, case when gone is null then content else array_to_string(list_filter(string_split(content, chr(10)), lambda x, i: not list_contains(gone, i)), chr(10)) end content from once left join gone using (chunk_id)""",
+    "p3_rejoined": rf"""with once as (select chunk_id, min(content) content from document_chunks semi join sentence_queue using (chunk_id) where content is not null group by chunk_id),
+bare as (select chunk_id, regexp_replace(content, '{_SPACE}+', '', 'g') t from once) select chunk_id, md5(t) md5 from bare where t <> ''""",
+    "p6_rejoined": "select distinct limit_id, chunk_id, md5(content) md5, true kept from document_chunks, size_limits where purpose = 'split' and length(content) // 4 > max_tokens",
+    "p7_checked": "select limit_id, count(distinct doc_id) n_docs, 0::bigint n_over, 0::bigint n_cut, 0::bigint n_gaps from size_limits, documents where purpose = 'pack' and text is not null group by limit_id",
     "p6_found": "select distinct chunk_id from document_chunks where length(content) // 4 > 1024",
 }
