@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path for a new stage that no other query uses."""
-    return f"{shared_dir(spark)}/ledgerleaf/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ledgerleaf/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all stages of this process, for jobs that have written their results; gives their number."""
+    n = len(_made)
+    while _made:
+        drop(spark, _made.pop())
+    return n
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,9 @@ def test_documents_written_and_read(spark, tmp_path):
     row = ingest.chunk_rows(ingest.read_written(spark, str(tmp_path / "out"))).first()
     assert (row.chunk_id, row.doc_id, row.content, row.doc_title) == ("c1", "a b", "x\ny", "T")
     assert ingest.read_written(spark, str(tmp_path / "out"), "a b").count() == 1
+
+
+def test_stages_can_be_cleared(spark):
+    df = stages.stage(spark.range(3), "gone")
+    path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    assert os.path.exists(path) and stages.clear(spark) >= 1 and not os.path.exists(path)
