@@ -16,15 +16,18 @@ def terms(text: Column) -> Column:
 MOST_TERMS = 200_000
 
 
-def postings(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, int, float]:
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    """Rows for all tasks if they are few, so that a frequent term is no key of a shuffle; else as they are."""
+    return F.broadcast(rows) if n <= MOST_TERMS else rows
+
+
+def postings(docs: DataFrame, vocabulary: DataFrame, n_terms: int) -> tuple[DataFrame, int, float]:
     """(``id, len, term, tf`` of the vocabulary's terms, number of documents, their mean length), from one scan.
 
     A document's row with a null term carries its length. The vocabulary is sent to all tasks if it has 200,000 terms or fewer, so that
     other tokens are dropped where they are read; frequencies are added up in each task before they travel.
     """
-    known = vocabulary.select("term", F.lit(True).alias("known"))
-    if vocabulary.count() <= MOST_TERMS:
-        known = F.broadcast(known)
+    known = _sent(vocabulary.select("term", F.lit(True).alias("known")), n_terms)
     each = docs.select("id", terms(F.coalesce("text", F.lit(""))).alias("all")).select("id", F.size("all").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "all")).alias("term"))
     kept = each.join(known, "term", "left").where(F.col("term").isNull() | F.col("known"))
     counted = stage(kept.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
@@ -42,22 +45,24 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: fl
     """
     asked = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
     vocabulary = stage(asked.select("term").distinct(), "terms")
-    held, n_docs, mean = postings(docs, vocabulary)
+    n_terms = vocabulary.count()
+    held, n_docs, mean = postings(docs, vocabulary, n_terms)
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = held.join(df, "term").select("term", "id", "df", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(mean))))).alias("w"))
+    weighted = held.join(_sent(df, n_terms), "term").select("term", "id", "df", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(mean))))).alias("w"))
     weighted = stage(weighted, "weights")
     most = weighted.groupBy("term").agg(F.max("w").alias("most"), F.max("df").alias("df"))
     each = asked.join(most, "term").withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("df", "term")))
     each = stage(each.withColumn("is_rare", (F.col("df") <= rare * n_docs) | (F.col("nth") == 1)), "asked")
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    partial = each.where("is_rare").select("query", "term").join(weighted, "term").groupBy("query", "id").agg(F.sum("w").alias("score"))
+    n_asked = each.count()
+    partial = weighted.join(_sent(each.where("is_rare").select("query", "term"), n_asked), "term").groupBy("query", "id").agg(F.sum("w").alias("score"))
     bound = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query", F.col("score").alias("bound"))
     together = F.sum("most").over(Window.partitionBy("query").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
     roles = each.join(bound, "query", "left").withColumn("weak", F.coalesce(together < F.col("bound") - 1e-5, F.lit(False)))
     roles = stage(roles.select("query", "term", "weak"), "roles")
-    strong = stage(roles.where(~F.col("weak")).select("query", "term").join(weighted, "term").groupBy("query", "id").agg(F.sum("w").alias("w")), "strong")
+    strong = stage(weighted.join(_sent(roles.where(~F.col("weak")).select("query", "term"), n_asked), "term").groupBy("query", "id").agg(F.sum("w").alias("w")), "strong")
     # the weak terms of the documents that are in: keyed by document, so that a stop word is no key
     weak = strong.select("query", "id").join(roles.where("weak").select("query", "term"), "query").join(weighted.select("id", "term", "w"), ["id", "term"]).select("query", "id", "w")
     scores = strong.unionByName(weak).groupBy("query", "id").agg(F.round(F.sum("w"), 6).alias("score"))
