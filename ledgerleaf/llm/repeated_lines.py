@@ -130,7 +130,8 @@ def line_bitmaps(docs: DataFrame, sources: DataFrame, min_docs: int, share: floa
     united = stage(united.withColumn("n", _cardinality("bits")), "line-bitmaps")
     sizes = places.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
     total = united.groupBy("source", "h", "k").agg(F.sum("n").alias("n_docs")).join(sizes, "source").where((F.col("n_docs") >= min_docs) & (F.col("n_docs") >= F.col("size") * share))
-    return found, places, united.join(total.select("source", "h", "k"), ["source", "h", "k"])
+    # merged, since bits shrink so much on disk that their side may look small enough to be sent to all tasks
+    return found, places, united.hint("merge").join(total.select("source", "h", "k"), ["source", "h", "k"])
 
 
 def repeated_lines(docs: DataFrame, sources: DataFrame, min_docs: int = 10, share: float = 0.001, min_chars: int = 25) -> DataFrame:
