@@ -40,6 +40,7 @@ FAN_OUT = 4
 BATCHES = FAN_OUT + 1  # the last one is held against a compacted run
 HOT = 64
 _CHARS = 1_000_000
+_ROWS = 200_000
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 
 
@@ -475,12 +476,26 @@ def search_windows(docs: DataFrame, min_chars: int, batches: int, gram: int) ->
     held = prints.join(several, "h", "left_semi").groupBy("doc").agg(F.collect_set("h").alias("held"))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, parts, n = [], [], 0
+
+        def rows() -> pd.DataFrame:
+            w, h, at, size = (np.concatenate(x) for x in zip(*parts))
+            named = pd.Series(keys, dtype=object if isinstance(keys[0], str) else "int64").repeat([len(p[0]) for p in parts]).to_numpy()
+            return pd.DataFrame({"w": w, "h": h, "doc": named, "at": at, "size": size})
+
         for batch in batches:
             for key, text, shared in zip(batch["doc"], batch["text"], batch["held"]):
                 codes = _codes(text)
                 least = window_minima(gram_hashes(codes, gram), min_chars - gram + 1).view(np.int64)
                 at = np.flatnonzero(np.isin(least, np.asarray(shared)))
-                yield pd.DataFrame({"w": gram_hashes(codes, min_chars).view(np.int64)[at], "h": least[at], "doc": [key] * len(at), "at": at.astype(np.int32), "size": np.int32(len(text))})
+                keys.append(key)
+                parts.append((gram_hashes(codes, min_chars).view(np.int64)[at], least[at], at.astype(np.int32), np.full(len(at), len(text), np.int32)))
+                n += len(at)
+                if n >= _ROWS:
+                    yield rows()
+                    keys, parts, n = [], [], 0
+        if keys:
+            yield rows()
 
     once = texts.join(held, "doc").groupBy("doc").agg(F.min_by("text", _digest()).alias("text"), F.first("held").alias("held"))
     rows = stage(once.mapInPandas(windows, f"w long, h long, doc {kind}, at int, size int"), "shared-windows")
