@@ -43,9 +43,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: fl
     is a bound from below, and the weakest terms whose greatest weights together stay under it can't lift a document over it. Documents
     with none of the other terms are left out, all others get their whole score, so the result is exact.
     """
-    asked = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
-    vocabulary = stage(asked.select("term").distinct(), "terms")
-    n_terms = vocabulary.count()
+    asked = stage(queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct(), "asked")
+    vocabulary = asked.select("term").distinct()
+    n_asked, n_terms = asked.agg(F.count(F.lit(1)), F.countDistinct("term")).first()
     held, n_docs, mean = postings(docs, vocabulary, n_terms)
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -53,10 +53,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: fl
     weighted = stage(weighted, "weights")
     most = weighted.groupBy("term").agg(F.max("w").alias("most"), F.max("df").alias("df"))
     each = asked.join(most, "term").withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("df", "term")))
-    each = stage(each.withColumn("is_rare", (F.col("df") <= rare * n_docs) | (F.col("nth") == 1)), "asked")
+    each = each.withColumn("is_rare", (F.col("df") <= rare * n_docs) | (F.col("nth") == 1))
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    n_asked = each.count()
     partial = weighted.join(_sent(each.where("is_rare").select("query", "term"), n_asked), "term").groupBy("query", "id").agg(F.sum("w").alias("score"))
     bound = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query", F.col("score").alias("bound"))
     together = F.sum("most").over(Window.partitionBy("query").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
