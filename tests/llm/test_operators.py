@@ -276,6 +276,27 @@ def test_repeated_lines_cases(spark):
     assert repeated_lines.repeated_lines(d.limit(0), kinds.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 26, 8])
+def test_repeated_lines_against_brute_force(spark, monkeypatch, most):
+    """With a bound of 8 bits the frequent lines are joined instead of sent as bits; containers of few documents split every line's bitmap."""
+    monkeypatch.setattr(repeated_lines, "MOST_BITS", most)
+    monkeypatch.setattr(repeated_lines, "CONTAINER_BITS", 16 if most > 8 else 2)
+    rnd = random.Random(11)
+    shared = [f"this is the shared legal notice number {k}" for k in range(12)]
+    texts = ["\n".join(rnd.choice([rnd.choice(shared), rnd.choice(shared).upper() + "  ", f"own line of text with number {rnd.randrange(9999)}", "short"]) for _ in range(rnd.randrange(9))) for _ in range(90)]
+    source = [rnd.choice(["s", "s", "t", None]) for _ in texts]
+    kinds = spark.createDataFrame([(f"a{i}", x) for i, x in enumerate(source)], "doc string, source string")
+    plain = lambda s: " ".join(s.lower().split())
+    holders = {}
+    for i, t in enumerate(texts):
+        for line in t.split("\n"):
+            if len(plain(line)) >= 25 and source[i]:
+                holders.setdefault((source[i], plain(line)), set()).add(i)
+    want = {(f"a{i}", n) for i, t in enumerate(texts) for n, line in enumerate(t.split("\n"), 1) if len(holders.get((source[i], plain(line)), ())) >= 10}
+    got = [(r.doc, r.line_no) for r in repeated_lines.repeated_lines(docs(spark, texts).union(docs(spark, texts[:9])), kinds).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
 # ---- p5
 
 
