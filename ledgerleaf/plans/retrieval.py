@@ -13,7 +13,7 @@ from ledgerleaf.sources import ingest, store
 from ledgerleaf.sources.providers import HashEmbedder, generated
 from ledgerleaf.sources.stages import new_path, stage
 from ledgerleaf.sources.tables import load
-from ledgerleaf.streaming.ingestion import document_stream, rolling_statistics, stream_into
+from ledgerleaf.streaming.ingestion import document_stream, latest_statistics, rolling_statistics, rolling_stream, stream_into
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -189,6 +189,16 @@ def _records(spark: SparkSession, d: str, *names: str) -> DataFrame:
     return e.withColumn("embedding", F.array(F.length("chunk_id").cast("float"), F.coalesce(F.length("content"), F.lit(0)).cast("float")))
 
 
+@query("stream_rolling_run", "select date_trunc('hour', ts) as start, event_type, count(*) n, round(avg(value), 6) mean_value from events group by all")
+def rolling_run(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a stream over the events' file, run to its end."""
+    schema = load(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    target = new_path(spark, "rolling")
+    rolling_stream(events, target, new_path(spark, "rolling-state")).awaitTermination()
+    return latest_statistics(spark, target).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+
+
 @query(
     "s7_f11_upsert",
     """with e as (select chunk_id, min(doc_id) doc_id, min(content) content from document_chunks group by chunk_id),

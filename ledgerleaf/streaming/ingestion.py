@@ -26,3 +26,19 @@ def rolling_statistics(log: DataFrame, every: str = "1 hour", late: str = "10 mi
     """``start, event_type, n, mean_value`` per window of ``ts, event_type, value``; ts must be a timestamp with time zone for the watermark."""
     w = F.window("ts", every)
     return log.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value")).select(F.col("w.start").alias("start"), "event_type", "n", "mean_value")
+
+
+def rolling_stream(events: DataFrame, target: str, checkpoint: str, every: str = "1 hour", late: str = "10 minutes") -> StreamingQuery:
+    """Rolling statistics of a stream: the groups that a micro-batch has changed are written below ``target``, a folder for each batch."""
+
+    def write(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{target}/batch={n}")  # a batch that is run again replaces its own rows
+
+    return rolling_statistics(events, every, late).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def latest_statistics(spark: SparkSession, target: str) -> DataFrame:
+    """What ``rolling_stream`` has written: of each window and type the last batch's row."""
+    rows = spark.read.parquet(target)
+    last = F.max_by(F.struct("n", "mean_value"), "batch").alias("x")
+    return rows.groupBy("start", "event_type").agg(last).select("start", "event_type", "x.n", "x.mean_value")

@@ -73,6 +73,22 @@ def test_stream_into_store(spark, tmp_path):
     assert s.count() == 1
 
 
+def test_rolling_stream_updates_windows(spark, tmp_path):
+    from ledgerleaf.streaming import ingestion
+
+    schema = "ts timestamp, event_type string, value double"
+
+    def feed(*rows):
+        spark.createDataFrame(spark.createDataFrame(rows, "ts string, event_type string, value double").selectExpr("cast(ts as timestamp) ts", "event_type", "value").collect(), schema).write.mode("append").parquet(str(tmp_path / "in"))
+        events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        ingestion.rolling_stream(events, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        return sorted((str(r.start), r.event_type, r.n, r.mean_value) for r in ingestion.latest_statistics(spark, str(tmp_path / "out")).collect())
+
+    assert feed(("2020-01-01 10:05:00", "a", 1.0), ("2020-01-01 10:10:00", "a", 3.0)) == [("2020-01-01 10:00:00", "a", 2, 2.0)]
+    # a second batch goes on with the first's window; what is later than the watermark allows is dropped
+    assert feed(("2020-01-01 10:59:00", "a", 5.0), ("2020-01-01 08:00:00", "a", 9.0), ("2020-01-01 12:00:00", "b", 1.0)) == [("2020-01-01 10:00:00", "a", 3, 3.0), ("2020-01-01 12:00:00", "b", 1, 1.0)]
+
+
 def test_provider_failure_is_a_message_not_zeros(spark):
     class Broken:
         def load(self):
