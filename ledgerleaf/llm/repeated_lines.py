@@ -124,21 +124,22 @@ def line_bitmaps(docs: DataFrame, sources: DataFrame, min_docs: int, share: floa
         sources.where(F.col("source").isNotNull()).select("doc", "source", F.shiftright(row, CONTAINER_BITS).alias("container"), row.bitwiseAND(F.lit((1 << CONTAINER_BITS) - 1)).cast("int").alias("low")),
         "line-places",
     )
+    # places shrink so much on disk that they look small enough to be sent to all tasks, which they are not
+    places = places.hint("merge")
     found = stage(_often(stage(_lines(docs, min_chars), "lines"), min_docs), "line-candidates")
     raw = found.join(places, "doc").groupBy("source", "h", "k", "v", "container").agg(F.collect_set("low").alias("lows")).select("source", "h", "k", "container", _encode("lows").alias("bits"))
     united = raw.groupBy("source", "h", "k", "container").agg(F.collect_list("bits").alias("all")).select("source", "h", "k", "container", _unite("all").alias("bits"))
     united = stage(united.withColumn("n", _cardinality("bits")), "line-bitmaps")
     sizes = places.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
     total = united.groupBy("source", "h", "k").agg(F.sum("n").alias("n_docs")).join(sizes, "source").where((F.col("n_docs") >= min_docs) & (F.col("n_docs") >= F.col("size") * share))
-    # merged, since bits shrink so much on disk that their side may look small enough to be sent to all tasks
-    return found, places, united.hint("merge").join(total.select("source", "h", "k"), ["source", "h", "k"])
+    return found, places, united.join(total.select("source", "h", "k"), ["source", "h", "k"])
 
 
 def repeated_lines(docs: DataFrame, sources: DataFrame, min_docs: int = 10, share: float = 0.001, min_chars: int = 25) -> DataFrame:
     """Every line to remove: ``doc, line_no`` (1-based, of the text cut at line feeds)."""
     found, places, bitmaps = line_bitmaps(docs, sources, min_docs, share, min_chars)
     bits = bitmaps.select("h", "k", "container", F.explode(_decode("bits")).alias("low"))
-    doomed = bits.join(places.select("doc", "container", "low"), ["container", "low"]).select("doc", "h", "k")
+    doomed = bits.join(places.select("doc", "container", "low").hint("merge"), ["container", "low"]).select("doc", "h", "k")
     return found.join(doomed, ["doc", "h", "k"]).select("doc", "line_no").distinct()
 
 
