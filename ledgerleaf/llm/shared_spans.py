@@ -380,32 +380,41 @@ def search(docs: DataFrame, min_chars: int = 200, batches: int = BATCHES, gram:
     texts, copies = text_classes(docs)
     prints = stage(fingerprint_rows(texts, min_chars, gram).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")), "fingerprints")
     known = texts if earlier is None else texts.unionByName(earlier.select("doc", "text"))
-    own, pairs = log or FingerprintLog(spark), None
+    own = log or FingerprintLog(spark)
+    try:
+        pairs = _candidates(own, prints, batches, known, min_chars, gram)
+        pairs = stage(pairs.select(F.col("a").cast(kind), F.col("b").cast(kind)).distinct(), "span-candidates")
+    finally:
+        if log is None:
+            own.clear()
+    return Shared(pairs, copies, known, prints.select("h", "doc"), own.n_compacted)
+
+
+def _candidates(log: FingerprintLog, prints: DataFrame, batches: int, texts: DataFrame, min_chars: int, gram: int) -> DataFrame:
+    """``a, b`` of all batches with themselves and with what the log holds before them; prints: ``h, doc, batch``."""
+    spark, pairs, waiting = prints.sparkSession, None, []
     hot = spark.createDataFrame([], "h long")
-    for name in own.runs:
-        hot = hot.unionByName(own.hot(name))
-    waiting: list[str] = []
+    for name in log.runs:
+        hot = hot.unionByName(log.hot(name))
     for k in range(batches):
-        waiting.append(own.add(prints.where(F.col("batch") == k)))
-        if own.full or k + 1 == batches:  # compaction deletes runs, so what waits is probed before
+        waiting.append(log.add(prints.where(F.col("batch") == k)))
+        if log.full or k + 1 == batches:  # compaction deletes runs, so what waits is probed before
             for name in waiting:
-                hot = hot.unionByName(own.hot(name))
+                hot = hot.unionByName(log.hot(name))
             hot = stage(hot.distinct(), "span-hot")
-            found = own.probe(waiting[0], hot)
+            found = log.probe(waiting[0], hot)
             for name in waiting[1:]:
-                found = found.unionByName(own.probe(name, hot))
+                found = found.unionByName(log.probe(name, hot))
             found, waiting = stage(found.distinct(), "span-pairs"), []
             pairs = found if pairs is None else pairs.unionByName(found)
-            own.compact()
+            log.compact()
     if not hot.isEmpty():
         held = None
-        for name in own.runs:
+        for name in log.runs:
             x = spark.table(name).join(hot, "h", "left_semi")
             held = x if held is None else held.unionByName(x)
-        pairs = pairs.unionByName(_hot_pairs(known, stage(held.groupBy("doc").agg(F.collect_set("h").alias("held")), "hot-held"), min_chars, gram))
-    if log is None:
-        own.clear()
-    return Shared(stage(pairs.select(F.col("a").cast(kind), F.col("b").cast(kind)).distinct(), "span-candidates"), copies, known, prints.select("h", "doc"), own.n_compacted)
+        pairs = pairs.unionByName(_hot_pairs(texts, stage(held.groupBy("doc").agg(F.collect_set("h").alias("held")), "hot-held"), min_chars, gram))
+    return pairs
 
 
 def _sides(found: Shared) -> DataFrame:
@@ -464,15 +473,17 @@ def search_windows(docs: DataFrame, min_chars: int, batches: int, gram: int) ->
     texts, copies = text_classes(docs)
     prints = stage(fingerprint_rows(texts, min_chars, gram).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")), "fingerprints")
     log = FingerprintLog(spark)
-    for k in range(batches):
-        log.add(prints.where(F.col("batch") == k))
-        log.compact()
-    runs = None
-    for name in log.runs:
-        x = spark.table(name).groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-        runs = x if runs is None else runs.unionByName(x)
-    several = stage(runs.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") != F.col("hi")).select("h"), "shared-prints")
-    log.clear()
+    try:
+        for k in range(batches):
+            log.add(prints.where(F.col("batch") == k))
+            log.compact()
+        runs = None
+        for name in log.runs:
+            x = spark.table(name).groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+            runs = x if runs is None else runs.unionByName(x)
+        several = stage(runs.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") != F.col("hi")).select("h"), "shared-prints")
+    finally:
+        log.clear()
     held = prints.join(several, "h", "left_semi").groupBy("doc").agg(F.collect_set("h").alias("held"))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

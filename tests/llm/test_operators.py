@@ -643,6 +643,16 @@ def test_queries_compact_and_a_kept_log_meets_later_batches(spark):
     again.clear()
 
 
+def test_a_failed_search_leaves_no_runs(spark, monkeypatch):
+    logs = []
+    made = shared_spans.FingerprintLog.__init__
+    monkeypatch.setattr(shared_spans.FingerprintLog, "__init__", lambda self, *a, **k: (made(self, *a, **k), logs.append(self))[0])
+    monkeypatch.setattr(shared_spans.FingerprintLog, "probe", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        shared_spans.shared_pairs(spark.createDataFrame([(1, "x" * 300), (2, "y" * 300)], "doc long, text string"))
+    assert len(logs) == 1 and logs[0].runs == [] and shared_spans.read_text(spark, f"{logs[0].at}/manifest.json") is None
+
+
 def test_spans_of_nothing(spark):
     empty = spark.createDataFrame([], "doc long, text string")
     nothing = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (None, "x" * 300)], "doc long, text string")
