@@ -199,14 +199,21 @@ def rolling_run(spark: SparkSession, d: str) -> DataFrame:
     return latest_statistics(spark, target).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
-@query(
-    "s7_f11_upsert",
-    """with e as (select chunk_id, min(doc_id) doc_id, min(content) content from document_chunks group by chunk_id),
+_UPSERT = """with e as (select chunk_id, min(doc_id) doc_id, min(content) content from document_chunks group by chunk_id),
  old as (select * from e where right(doc_id, 1) < 'm'), inc as (select chunk_id, doc_id, content || ' (new)' content from e where right(doc_id, 1) >= '6')
- select chunk_id, doc_id, md5(content) md5 from old where doc_id not in (select doc_id from inc) union all select chunk_id, doc_id, md5(content) from inc""",
-)
+ select chunk_id, doc_id, md5(content) md5 from old where doc_id not in (select doc_id from inc) union all select chunk_id, doc_id, md5(content) from inc"""
+
+
+@query("s7_f11_upsert", _UPSERT)
 def s7(spark: SparkSession, d: str) -> DataFrame:
-    """The store holds the documents whose id ends before m, those from 6 on come in; both together are all documents, and they overlap."""
+    """The operator alone: documents whose id ends before m are there, those from 6 on come in; both together are all documents, and they overlap."""
+    e, end = _records(spark, d), F.substring("doc_id", -1, 1)
+    return store.upserted(e.where(end < "m"), e.where(end >= "6").withColumn("content", F.concat("content", F.lit(" (new)")))).select("chunk_id", "doc_id", F.md5("content").alias("md5"))
+
+
+@query("s7_store_upsert", _UPSERT)
+def s7_store(spark: SparkSession, d: str) -> DataFrame:
+    """The same through a store."""
     e, end, s = _records(spark, d), F.substring("doc_id", -1, 1), _store(spark)
     s.upsert(e.where(end < "m"))
     s.upsert(e.where(end >= "6").withColumn("content", F.concat("content", F.lit(" (new)"))))
@@ -281,17 +288,26 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return nested.select("doc_id", F.struct("title", "creation_date", "source_file").alias("metadata"), "chunks", F.lit(None).cast("string").alias("_corrupt_record"))
 
 
-@query(
-    "s3_p1_j10_chunk_rows",
-    """with c as (select doc_id, chunk_id, min(content) content, min(chunk_type) chunk_type, min(token_count) token_count, min(section_anchor) section_anchor, min(keywords) keywords from document_chunks group by doc_id, chunk_id),
+_CHUNK_ROWS = """with c as (select doc_id, chunk_id, min(content) content, min(chunk_type) chunk_type, min(token_count) token_count, min(section_anchor) section_anchor, min(keywords) keywords from document_chunks group by doc_id, chunk_id),
  m as (select doc_id, max(title) title, strftime(min(doc_date), '%Y-%m-%d') creation_date from document_metadata group by doc_id)
- select chunk_id, doc_id, md5(coalesce(content, '')) md5, coalesce(chunk_type, 'text') chunk_type, coalesce(token_count, 0) token_count, coalesce(section_anchor, '') section_anchor, coalesce(title, '') doc_title, coalesce(creation_date, '') doc_date, coalesce(keywords, []) keywords from c left join m using (doc_id)""",
-)
+ select chunk_id, doc_id, md5(coalesce(content, '')) md5, coalesce(chunk_type, 'text') chunk_type, coalesce(token_count, 0) token_count, coalesce(section_anchor, '') section_anchor, coalesce(title, '') doc_title, coalesce(creation_date, '') doc_date, coalesce(keywords, []) keywords from c left join m using (doc_id)"""
+
+
+def _chunk_rows(documents: DataFrame) -> DataFrame:
+    return ingest.chunk_rows(documents).select("chunk_id", "doc_id", F.md5("content").alias("md5"), "chunk_type", "token_count", "section_anchor", "doc_title", "doc_date", "keywords")
+
+
+@query("s3_p1_j10_chunk_rows", _CHUNK_ROWS)
 def p1_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _chunk_rows(_documents(spark, d))
+
+
+@query("s3_s4_documents_written_and_read", _CHUNK_ROWS)
+def s3_files(spark: SparkSession, d: str) -> DataFrame:
     """The documents are written as JSON, a folder for each, and read again."""
     at = new_path(spark, "processed")
     ingest.write_documents(_documents(spark, d), at)
-    return ingest.chunk_rows(ingest.read_written(spark, at)).select("chunk_id", "doc_id", F.md5("content").alias("md5"), "chunk_type", "token_count", "section_anchor", "doc_title", "doc_date", "keywords")
+    return _chunk_rows(ingest.read_written(spark, at))
 
 
 @query("s4_stream_into_store", "select chunk_id, min(doc_id) doc_id, md5(coalesce(min(content), '')) md5 from document_chunks group by chunk_id")

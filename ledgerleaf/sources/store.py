@@ -115,7 +115,8 @@ class VectorStore:
 
     def _write(self, rows: DataFrame) -> str:
         version = uuid.uuid4().hex
-        rows.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(f"{self.path}/data/{version}")
+        # few files a bucket, and a large bucket still by several tasks
+        rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{version}")
         return version
 
     def _written(self, version: str) -> list[str]:
