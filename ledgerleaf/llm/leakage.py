@@ -1,7 +1,8 @@
 """Evaluation texts that leaked into training text, found with suffix arrays.
 
 The corpus is cut into shards of bounded size. A shard's index is the sequence of its word hashes and the array of all its suffixes, sorted
-whole; it is staged, or written where the caller wants it, and knows nothing of any test set, so it serves every later one. Every suffix of
+whole; it is staged, or written where the caller wants it (as Parquet with ``INDEX_OPTIONS``, else a file's shards are one row group, which
+tasks hold whole), and knows nothing of any test set, so it serves every later one. Every suffix of
 every test item is found in every shard by binary search, one word deeper at a time; what is left after ``min_words`` words are the
 places of verbatim matches, which are then extended to the longest ones.
 
@@ -32,6 +33,8 @@ BLOCK_CHARS = 8_000_000
 _PAIRS = 1_000_000
 _VOCAB = 500_000
 END = np.uint64(0)
+#: A row group for each shard. By default Parquet looks at a row group's size after 100 rows, which here hold some 350 MB.
+INDEX_OPTIONS = {"parquet.block.row.count.limit": "1"}
 
 
 class _Hashes(dict):
@@ -214,4 +217,4 @@ def search_index(index: DataFrame, items: DataFrame, min_words: int = 8) -> Data
 
 def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 8) -> DataFrame:
     """``search_index`` over a staged index of ``docs``."""
-    return search_index(stage(build_index(docs), "suffix-arrays"), items, min_words)
+    return search_index(stage(build_index(docs), "suffix-arrays", INDEX_OPTIONS), items, min_words)

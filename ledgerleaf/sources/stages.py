@@ -42,10 +42,10 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back."""
+def stage(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet, with further write options, into the shared folder and read it back."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

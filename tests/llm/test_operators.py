@@ -3,12 +3,15 @@
 import itertools
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import blocks, leakage, markup, neardup, packing, repeated_lines, scan_noise, sentences, shared_spans, splitting
+from ledgerleaf.sources import stages
 
 DOCS = "doc string, text string"
 
@@ -519,6 +522,17 @@ def test_suffix_array_is_sorted():
         assert leakage.suffix_array(seq).tolist() == sorted(range(n), key=lambda i: seq[i:].tolist())
 
 
+def test_each_shard_of_an_index_is_a_row_group(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "SHARD_CHARS", 10)
+    df = spark.createDataFrame([(i, f"one two three w{i}") for i in range(30)], "doc long, text string").coalesce(1)
+    items = spark.createDataFrame([("q", "f", "one two three")], "item string, field string, text string")
+    assert leakage.find_leaks(df, items, 3).count() == 30
+    path = next(p for p in reversed(stages._made) if "/suffix-arrays-" in p)
+    (file,) = Path(path).glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert [meta.row_group(k).num_rows for k in range(meta.num_row_groups)] == [1] * 30
+
+
 def test_places_of_leaks_and_a_second_test_set(spark):
     df = spark.createDataFrame([(1, "x y one two three four z one two three"), (2, "three four five")], "doc long, text string").withColumn("docs", F.lit("clash"))
     index = leakage.stage(leakage.build_index(df), "index")
